@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -116,7 +117,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 def _slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Row ranges of a batch of about `limit` characters, so that long rows do not pile up."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)
