@@ -60,8 +60,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, tokens
+
+    path = common.new_path(spark, "token-files")
+    tokens.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_token_files": op4_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
