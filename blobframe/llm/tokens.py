@@ -18,9 +18,10 @@ File format. `<path>/blocks` is a Parquet table, one row per block of a shard:
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,17 @@ from .mph import MinimalPerfectHash, _mix
 
 #: A block ends with the document that brings it to so many ids or documents.
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 8192
-MEMO = 250_000
-#: Texts are cut only where the tokenizer's own splitting cuts them as well: it drops all white space and never reads across it.
-_CHUNK = re.compile(r"[^ \n]+")
+#: Chunks in each of the two generations of a worker's memo.
+MEMO = 200_000
+#: The character that stands for each byte in a byte-level vocabulary: itself if printable in Latin-1, else the next from 256.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _BLOCK = "shard int, block int, base long, n_nulls int, n_docs int, n_tokens long, width int, lo long, hi long, payload binary, offsets binary, keys binary, seeds binary, prints binary, firsts binary"
 
 
 class ChunkEncoder:
-    """Ids of texts as raw bytes; chunks between blanks are encoded once and remembered."""
+    """Ids of texts as raw bytes. Texts are cut at blanks and line ends, where the tokenizer's own splitting cuts as well (it
+    drops all white space and never reads across it); a chunk is encoded once and remembered."""
 
     def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,31 +55,43 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = special_as_text
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes many chunks in few calls: joined by blanks, then told apart by the offsets of their ids."""
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            starts = np.zeros(len(part) + 1, dtype=np.int64)
-            np.cumsum([len(c) + 1 for c in part], out=starts[1:])
-            ids = np.array(enc.ids, dtype=self.dtype)
-            where = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids))
-            ends = np.searchsorted(where, starts)
-            self.memo |= {c: ids[s:e].tobytes() for c, s, e in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        self.model = self.tok.model
+        self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunk: str) -> bytes:
+        """A run of letters with sentence marks behind it is one word and one run of marks to the tokenizer, so these go
+        straight to its merge model; every other chunk takes the whole path."""
+        out = self.old.get(chunk)
+        if out is None:
+            low = chunk.lower()
+            word = low.rstrip(",.;:!?")
+            if word.isalpha() and "\u03a3" not in chunk and is_normalized("NFC", chunk):
+                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]
+                if len(word) < len(low):
+                    ids += [t.id for t in self.model.tokenize(low[len(word) :])]
+            else:
+                ids = self.tok.encode(chunk, add_special_tokens=False).ids
+            out = array(self.code, ids).tobytes()
+        if len(chunk) <= 64:
+            self.memo[chunk] = out
+        return out
+
+    @property
+    def code(self) -> str:
+        return "H" if self.width == 2 else "I"
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_CHUNK.findall(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        need = set().union(*split)
-        need.difference_update(memo)
-        if need:
-            self.learn(sorted(need))
-        get = memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            self.old, self.memo = self.memo, {"": b""}
+        get, learn, out = self.memo.get, self.learn, []
+        for t in texts:
+            chunks = t.replace("\n", " ").split(" ") if t else []
+            parts = list(map(get, chunks))
+            if None in parts:
+                parts = [learn(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
+            out.append(b"".join(parts))
+        return out
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -121,7 +137,7 @@ def write(
         enc = _encoder(vocabulary, special_as_text)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for whole in batches:
-            for b in _slices(whole, "text"):
+            for b in _slices(whole, "text", 1_000_000):
                 out = [p + end for p in enc.encode(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.binary())], names=["key", "payload"])
 
