@@ -75,10 +75,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net, output="score").select(
+        "doc_id",
+        (~toxicity.in_training("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
