@@ -27,6 +27,17 @@ from .mph import MinimalPerfectHash
 MEMO = 200_000
 
 
+class Memo(dict):
+    """Makes what it lacks; the maker decides what to keep."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 class Tokenizer:
     """Ranks and a splitting pattern, as a tiktoken rank file holds them."""
 
@@ -42,7 +53,7 @@ class Tokenizer:
         for s, k in zip(slots.tolist(), keys, strict=True):
             self.slot_key[s], self.slot_id[s] = k, ranks[k]
         self.byte_id = [ranks.get(bytes([i])) for i in range(256)]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.piece_ids)
         self.old: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -97,10 +108,8 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         if len(self.memo) >= MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, make = self.memo, self.piece_ids
-        get = memo.get
-        return list(chain.from_iterable([get(p) or make(p) for p in self.find(text)]))
+            self.old, self.memo = self.memo, Memo(self.piece_ids)
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _slices
+from .bpe import Memo, _slices
 from .common import ship
 from .mph import MinimalPerfectHash, _mix
 
@@ -54,10 +54,11 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
+        self.dtype, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.model = self.tok.model
-        self.memo: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.memo = Memo(self.learn)
 
     def learn(self, chunk: str) -> bytes:
         """A run of letters with sentence marks behind it is one word and one run of marks to the tokenizer, so these go
@@ -65,33 +66,29 @@ class ChunkEncoder:
         out = self.old.get(chunk)
         if out is None:
             low = chunk.lower()
-            word = low.rstrip(",.;:!?")
-            if word.isalpha() and "\u03a3" not in chunk and is_normalized("NFC", chunk):
-                ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]
-                if len(word) < len(low):
-                    ids += [t.id for t in self.model.tokenize(low[len(word) :])]
+            word = low if low.isalpha() else low.rstrip(",.;:!?")
+            if word.isalpha() and (word.isascii() or "\u03a3" not in chunk and is_normalized("NFC", chunk)):
+                out = self.words.get(word)
+                if out is None:
+                    out = self.words[word] = self.merged(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))
+                if word is not low and len(word) < len(low):
+                    out += self.merged(low[len(word) :])
             else:
-                ids = self.tok.encode(chunk, add_special_tokens=False).ids
-            out = array(self.code, ids).tobytes()
+                out = array(self.code, self.tok.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
         if len(chunk) <= 64:
             self.memo[chunk] = out
         return out
 
-    @property
-    def code(self) -> str:
-        return "H" if self.width == 2 else "I"
+    def merged(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {"": b""}
-        get, learn, out = self.memo.get, self.learn, []
-        for t in texts:
-            chunks = t.replace("\n", " ").split(" ") if t else []
-            parts = list(map(get, chunks))
-            if None in parts:
-                parts = [learn(c) if p is None else p for c, p in zip(chunks, parts, strict=True)]
-            out.append(b"".join(parts))
-        return out
+            self.old, self.memo = self.memo, Memo(self.learn)
+        if len(self.words) > MEMO:
+            self.words = {}
+        get = self.memo.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
