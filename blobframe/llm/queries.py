@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -75,6 +76,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_items",
+        F.concat_ws(",", F.col("item_ids").cast("array<string>")).alias("item_ids"),
+        F.col("matched").cast("long").alias("matched"),
+        F.round("coverage", 6).alias("coverage"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -92,7 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_decontaminate": op5_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.oracle_sql()}
