@@ -87,6 +87,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import covertree
+
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
