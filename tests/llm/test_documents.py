@@ -154,6 +154,19 @@ def test_token_files_query(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == {k: v[:3] for k, v in want.items()}
 
 
+def test_chunk_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(P.path("word_bpe_49k.json")), tokens.ChunkEncoder(P.path("word_bpe_49k.json"), True)
+    odd = ["A, b. C!, d... e., f _. g", "ΑΣ ΟΣ, x.", "e\u0301, É. \u212a, x", "it's, don't. 'tis", "½, ². ٣. İ, x", "a\x1cb\u00a0c, d.\n e", ", . ,", "Word,\nNext. ", "x_, y", "ﬁ, ǅ. ß."]
+    rnd = random.Random(4)
+    odd += ["".join(rnd.choice("aBé,.!'_ \n1½Σ\u0301東-") for _ in range(60)) for _ in range(300)]
+    for text, got in zip(odd, e.encode(odd), strict=True):
+        import numpy as np
+
+        assert np.frombuffer(got, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files_odd(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_DOCS", 3)
     path = common.new_path(spark, "t")
