@@ -38,6 +38,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    found = passages.merged(passages.repeated_passages(table(spark, sf_dir, "documents")))
+    spans = F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", "n_passages", "n_words", F.array_join(spans, ",").alias("spans"), "partner_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -121,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_main_text": op6_main_text,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.oracle_sql()}
