@@ -124,7 +124,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _loaded[path, pattern]
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000):
     """Row ranges of a batch of about `limit` characters, so that long rows do not pile up."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     at, total = 0, 0

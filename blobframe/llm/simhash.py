@@ -192,15 +192,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of df that carry their component's smallest key; of several rows with that key one stays. Rows with a null key
     stay only where their whole component has none, and then one of them does."""
-    found = near_duplicates(df, key, text, words, bits)
-    stays = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), "simhash").distinct()
-    # a component of null keys may have several fingerprints; its least one stands for it
-    keys = stays.where("_key is not null").select("_key").distinct()
-    kept = df.join(keys, df[key] == keys["_key"], "left_semi").dropDuplicates([key])
-    none = df.where(F.col(key).isNull())
-    if not none.limit(1).count():
+    found, _ = cut(near_duplicates(df, key, text, words, bits), "near-duplicates")
+    stays = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    repeated = bool(stays.where("_n > 1").limit(1).count())
+    kept = df.join(stays, df[key] == stays["_key"], "left_semi")
+    if repeated:  # rows that share a key and stay: one of them does
+        kept = kept.dropDuplicates([key])
+    alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("simhash").distinct()
+    if not alone.limit(1).count():
         return kept
-    nulls = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("simhash").distinct()
-    printed = fingerprints(none, text, "_simhash", words)
-    nulls = printed.join(nulls, printed["_simhash"] == nulls["simhash"], "left_semi").dropDuplicates(["_simhash"]).drop("_simhash")
+    printed = fingerprints(df.where(F.col(key).isNull()), text, "_simhash", words)
+    nulls = printed.join(alone, printed["_simhash"] == alone["simhash"], "left_semi").dropDuplicates(["_simhash"]).drop("_simhash")
     return kept.unionByName(nulls)
