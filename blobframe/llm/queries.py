@@ -69,6 +69,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs), output="score").drop("text")
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -123,6 +131,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
