@@ -20,24 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import ship
+from .common import cut, ship
 
 #: Bound of the scorer's training sample, in texts, and of a text in it, in characters.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
 BITS = 13
 
 GOOD, BAD, NONE = 1, 0, -1
-LABELLERS = ("marks", "capitals", "repeats", "table", "lines", "sentences", "variety", "letters", "word_size")
+LABELLERS = ("marks", "capitals", "bangs", "repeats", "table", "lines", "sentences", "variety", "letters", "word_size")
 _SYMBOL = re.compile(r"[#%&$*@^~<>{}\[\]|\\=+_]")
 _STOP = re.compile(r"[.!?](?:\s|$)")
 
 
-def statistics(text: str | None) -> dict[str, float]:
-    """Shares and counts over the whole text; zeros for a null or empty one."""
+def statistics(text: str | None, counts: Counter | None = None) -> dict[str, float]:
+    """Shares and counts over the whole text; zeros for a null or empty one. counts: those of its words, if at hand."""
     t = text or ""
     words = t.split()
     n, letters = len(words), sum(map(str.isalpha, t)) if len(t) < 400 else len(re.findall(r"[^\W\d_]", t))
-    counts = Counter(words)
+    counts = Counter(words) if counts is None else counts
     lines = [x for x in t.split("\n") if x.strip()]
     capitals = len(re.findall(r"\b[^\W\d_a-zß-ÿ]{2,}\b", t))
     pairs = Counter(zip(words, words[1:], strict=False))
@@ -46,9 +46,9 @@ def statistics(text: str | None) -> dict[str, float]:
         "symbols": len(_SYMBOL.findall(t)) / max(1, len(t)),
         "bangs": t.count("!") / max(1, n),
         "capitals": capitals / max(1, n),
-        "top": max(counts.values(), default=0) / max(1, n),
+        "top": max(0, max(counts.values(), default=0) - 1) / max(1, n),
         "distinct": len(counts) / max(1, n),
-        "pair": max(pairs.values(), default=0) / max(1, n - 1),
+        "pair": max(0, max(pairs.values(), default=0) - 1) / max(1, n - 1),
         "bars": t.count(" | ") / max(1, n),
         "stops": len(_STOP.findall(t)) / max(1, n),
         "letters": letters / max(1, len(t)),
@@ -67,14 +67,15 @@ def votes(s: dict[str, float]) -> list[int]:
     loud, marked = max(s["capitals"], s["bangs"]), max(s["symbols"], s["bars"])
     return [
         vote(s["symbols"] > 0.05, False),
-        vote(loud > 0.25, False),
+        vote(s["capitals"] > 0.25, False),
+        vote(s["bangs"] > 0.25, False),
         vote(n >= 10 and (s["pair"] > 0.15 or s["top"] > 0.3), False),
         vote(s["bars"] > 0.1, False),
-        vote(s["line_repeats"] > 0.5, n >= 20 and s["line_repeats"] < 0.1 and s["pair"] < 0.08),
+        vote(s["line_repeats"] > 0.5, n >= 20 and s["line_repeats"] < 0.1 and s["pair"] < 0.08 and loud < 0.1),
         vote(n >= 30 and s["stops"] < 0.01, 0.02 < s["stops"] < 0.35 and loud < 0.1 and marked < 0.015),
-        vote(n >= 40 and s["distinct"] < 0.15, n >= 20 and s["distinct"] > 0.35 and s["symbols"] < 0.02),
+        vote(n >= 40 and s["distinct"] < 0.15, n >= 20 and s["distinct"] > 0.35 and s["symbols"] < 0.02 and loud < 0.1),
         vote(n == 0 or s["letters"] < 0.55, s["letters"] > 0.72 and s["bangs"] < 0.05),
-        vote(s["size"] > 20, 2 <= s["size"] <= 10 and marked < 0.02 and s["pair"] < 0.1),
+        vote(s["size"] > 20, 2 <= s["size"] <= 10 and marked < 0.02 and s["pair"] < 0.1 and loud < 0.1),
     ]
 
 
@@ -107,26 +108,36 @@ def weak_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int =
     return share, table, {tuple(k): float(x) for (k, _), x in zip(patterns, p, strict=True)}
 
 
-def hashed(text: str | None, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+_known: dict[str, tuple[int, int]] = {}
+
+
+def _word(w: str) -> tuple[int, int]:
+    """Feature numbers of a word and of its shape, remembered up to a bound."""
+    if (out := _known.get(w)) is None:
+        if len(_known) > 200_000:
+            _known.clear()
+        shape = ("U" if w.isupper() and len(w) > 1 else "l") + ("!" if w[-1] in "!?" else "." if w[-1] in ".,;:" else "#" if not w[-1].isalnum() else "") + ("0" if any(map(str.isdigit, w)) else "")
+        out = zlib.crc32(w.lower().encode("utf-8", "replace")) & ((1 << BITS) - 1), (1 << BITS) + zlib.crc32(shape.encode()) % 64
+        if len(w) <= 64:
+            _known[w] = out
+    return out
+
+
+def hashed(counts: Counter, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature numbers and values: words and their shapes by share, and the statistics in steps."""
-    words = (text or "").split()
-    counts = Counter(words)
     out: dict[int, float] = {}
-    scale = 1.0 / max(1, len(words))
-    shapes: Counter = Counter()
+    get, scale = out.get, 1.0 / max(1, s["words"])
     for w, c in counts.items():
-        low = w.lower()
-        k = zlib.crc32(low.encode("utf-8", "replace")) & ((1 << BITS) - 1)
-        out[k] = out.get(k, 0.0) + c * scale
-        shape = ("U" if w.isupper() and len(w) > 1 else "l") + ("!" if w[-1] in "!?" else "." if w[-1] in ".,;:" else "#" if not w[-1].isalnum() else "") + ("0" if any(map(str.isdigit, w)) else "")
-        shapes[shape] += c
-    for x, c in shapes.items():
-        out[(1 << BITS) + zlib.crc32(x.encode()) % 64] = 3.0 * c * scale
+        k, shape = _known.get(w) or _word(w)
+        out[k] = get(k, 0.0) + c * scale
+        out[shape] = get(shape, 0.0) + 3.0 * c * scale
     for i, (name, x) in enumerate(s.items()):
         step = int(min(15, np.log2(1 + x))) if name == "words" else int(min(15, x * 30)) if name != "size" else int(min(15, x))
         out[(1 << BITS) + 64 + 16 * i + step] = 1.0
-    keys = sorted(out)
-    return np.array(keys, dtype=np.int64), np.array([out[k] for k in keys])
+    keys = np.fromiter(out, dtype=np.int64, count=len(out))
+    values = np.fromiter(out.values(), dtype=np.float64, count=len(out))
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 WIDTH = (1 << BITS) + 64 + 16 * 12
@@ -135,7 +146,7 @@ WIDTH = (1 << BITS) + 64 + 16 * 12
 def train_scorer(texts: list[str | None], targets: list[float], epochs: int = 8, rate: float = 0.3, seed: int = 5) -> np.ndarray:
     """Weights and a bias of logistic regression on soft labels, by Adagrad."""
     w, g2 = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-2)
-    rows = [hashed(t, statistics(t)) for t in texts]
+    rows = [hashed(c := Counter((t or "").split()), statistics(t, c)) for t in texts]
     rnd = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rnd.permutation(len(rows)):
@@ -149,8 +160,8 @@ def train_scorer(texts: list[str | None], targets: list[float], epochs: int = 8,
 
 
 def score_text(text: str | None, w: np.ndarray) -> float:
-    s = statistics(text)
-    k, x = hashed(text, s)
+    counts = Counter((text or "").split())
+    k, x = hashed(counts, statistics(text, counts))
     return float(1 / (1 + np.exp(-np.clip(w[k] @ x + w[-1], -30, 30))))
 
 
@@ -177,19 +188,21 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE, chars: int = SA
     """The labellers vote on every text of df; only the counts of vote patterns, at most three to the power of the number of
     labellers whatever the table's size, come to the driver for the estimation. The scorer is fitted on at most `sample` texts
     of at most `chars` characters, half of them from each side of the posterior, first in the order of a hash of the text."""
-    voted = _mapped(df.select(F.col(text).alias("t")), "t", "v", T.StringType(), lambda t: ",".join(map(str, votes(statistics(t)))), pa.string())
+    texts = df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    voted = _mapped(texts, "t", "v", T.StringType(), lambda t: ",".join(map(str, votes(statistics(t)))), pa.string())
+    voted, _ = cut(voted.select("h", "v", F.coalesce(F.length("t"), F.lit(0)).alias("n")), "votes")
     counts = voted.groupBy("v").agg(F.count("*").alias("c")).collect()
     patterns = sorted((tuple(map(int, r.v.split(","))), r.c) for r in counts)
     share, acc, post = weak_label_model(patterns)
     side = {",".join(map(str, p)): x for p, x in post.items()}
-    good = [p for p, x in side.items() if x >= 0.5]
-    bad = [p for p, x in side.items() if x < 0.5]
-    rows = []
-    small = voted.where(F.coalesce(F.length("t"), F.lit(0)) <= chars)
-    for group in (good, bad):
+    picked: dict[int, float] = {}  # hashes of the sample's texts, bounded by its size
+    for group in ([p for p, x in side.items() if x >= 0.5], [p for p, x in side.items() if x < 0.5]):
         if group:
-            rows += small.where(F.col("v").isin(group)).orderBy(F.xxhash64("t"), "t").limit(sample // 2).collect()
-    return Model(share, acc, post, train_scorer([r.t for r in rows], [side[r.v] for r in rows]))
+            best = voted.where(F.col("v").isin(group) & (F.col("n") <= chars)).select("h", "v").distinct().orderBy("h", "v").limit(sample // 2)
+            picked |= {r.h: side[r.v] for r in best.collect()}
+    wanted = df.sparkSession.createDataFrame([(h,) for h in picked], "h long")
+    rows = texts.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
+    return Model(share, acc, post, train_scorer([r.t for r in rows], [picked[r.h] for r in rows]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "quality") -> DataFrame:
