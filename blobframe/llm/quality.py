@@ -8,10 +8,12 @@ labellers are silent or divided.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +27,36 @@ from .common import cut, ship
 #: Bound of the scorer's training sample, in texts, and of a text in it, in characters.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
 BITS = 13
+_MASK = (1 << BITS) - 1
 
 GOOD, BAD, NONE = 1, 0, -1
 LABELLERS = ("marks", "capitals", "bangs", "repeats", "table", "lines", "sentences", "variety", "letters", "word_size")
-_SYMBOL = re.compile(r"[#%&$*@^~<>{}\[\]|\\=+_]")
-_STOP = re.compile(r"[.!?](?:\s|$)")
+SYMBOLS = "#%&$*@^~<>{}[]|\\=+_"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def statistics(text: str | None, counts: Counter | None = None) -> dict[str, float]:
-    """Shares and counts over the whole text; zeros for a null or empty one. counts: those of its words, if at hand."""
+    """Shares and counts over the whole text; zeros for a null or empty one. counts takes up those of its words."""
     t = text or ""
     words = t.split()
-    n, letters = len(words), sum(map(str.isalpha, t)) if len(t) < 400 else len(re.findall(r"[^\W\d_]", t))
-    counts = Counter(words) if counts is None else counts
+    counts = Counter() if counts is None else counts
+    counts.update(words)
+    n = len(words)
+    loud = sum([c for w, c in counts.items() if w.isupper() and len(w) > 1])
+    stops = sum(map(t.count, (". ", ".\n", "! ", "!\n", "? ", "?\n"))) + t.endswith((".", "!", "?"))
     lines = [x for x in t.split("\n") if x.strip()]
-    capitals = len(re.findall(r"\b[^\W\d_a-zß-ÿ]{2,}\b", t))
-    pairs = Counter(zip(words, words[1:], strict=False))
+    repeats = max(sum(map(eq, words, words[1:])), sum(map(eq, words, words[2:])))
     return {
         "words": n,
-        "symbols": len(_SYMBOL.findall(t)) / max(1, len(t)),
+        "symbols": sum(map(t.count, SYMBOLS)) / max(1, len(t)),
         "bangs": t.count("!") / max(1, n),
-        "capitals": capitals / max(1, n),
+        "capitals": loud / max(1, n),
         "top": max(0, max(counts.values(), default=0) - 1) / max(1, n),
         "distinct": len(counts) / max(1, n),
-        "pair": max(0, max(pairs.values(), default=0) - 1) / max(1, n - 1),
+        "pair": repeats / max(1, n),
         "bars": t.count(" | ") / max(1, n),
-        "stops": len(_STOP.findall(t)) / max(1, n),
-        "letters": letters / max(1, len(t)),
+        "stops": stops / max(1, n),
+        "letters": len(_NO_LETTERS.sub("", t)) / max(1, len(t)),
         "size": sum(map(len, words)) / max(1, n),
         "line_repeats": 1 - len(set(lines)) / max(1, len(lines)),
     }
@@ -108,60 +113,44 @@ def weak_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int =
     return share, table, {tuple(k): float(x) for (k, _), x in zip(patterns, p, strict=True)}
 
 
-_known: dict[str, tuple[int, int]] = {}
-
-
-def _word(w: str) -> tuple[int, int]:
-    """Feature numbers of a word and of its shape, remembered up to a bound."""
-    if (out := _known.get(w)) is None:
-        if len(_known) > 200_000:
-            _known.clear()
-        shape = ("U" if w.isupper() and len(w) > 1 else "l") + ("!" if w[-1] in "!?" else "." if w[-1] in ".,;:" else "#" if not w[-1].isalnum() else "") + ("0" if any(map(str.isdigit, w)) else "")
-        out = zlib.crc32(w.lower().encode("utf-8", "replace")) & ((1 << BITS) - 1), (1 << BITS) + zlib.crc32(shape.encode()) % 64
-        if len(w) <= 64:
-            _known[w] = out
-    return out
-
-
-def hashed(counts: Counter, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature numbers and values: words and their shapes by share, and the statistics in steps."""
-    out: dict[int, float] = {}
-    get, scale = out.get, 1.0 / max(1, s["words"])
-    for w, c in counts.items():
-        k, shape = _known.get(w) or _word(w)
-        out[k] = get(k, 0.0) + c * scale
-        out[shape] = get(shape, 0.0) + 3.0 * c * scale
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values: hashed words by their share, a number for each occurrence, and the statistics in steps."""
+    counts: Counter = Counter()
+    s = statistics(text, counts)
+    keys = [crc32(w) & _MASK for w in " ".join(counts).lower().encode("utf-8", "replace").split(b" ")] if counts else []
+    each = 1.0 / max(1, s["words"])
+    values = [c * each for c in counts.values()]
     for i, (name, x) in enumerate(s.items()):
-        step = int(min(15, np.log2(1 + x))) if name == "words" else int(min(15, x * 30)) if name != "size" else int(min(15, x))
-        out[(1 << BITS) + 64 + 16 * i + step] = 1.0
-    keys = np.fromiter(out, dtype=np.int64, count=len(out))
-    values = np.fromiter(out.values(), dtype=np.float64, count=len(out))
-    order = np.argsort(keys)
-    return keys[order], values[order]
+        step = int(min(15, math.log2(1 + x))) if name == "words" else int(min(15, x * 30)) if name != "size" else int(min(15, x))
+        keys.append((1 << BITS) + 16 * i + step)
+        values.append(1.0)
+    return np.array(keys, dtype=np.int64), np.array(values)
 
 
-WIDTH = (1 << BITS) + 64 + 16 * 12
+WIDTH = (1 << BITS) + 16 * 12
 
 
 def train_scorer(texts: list[str | None], targets: list[float], epochs: int = 8, rate: float = 0.3, seed: int = 5) -> np.ndarray:
     """Weights and a bias of logistic regression on soft labels, by Adagrad."""
     w, g2 = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-2)
-    rows = [hashed(c := Counter((t or "").split()), statistics(t, c)) for t in texts]
+    rows = [hashed(t) for t in texts]
     rnd = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rnd.permutation(len(rows)):
             k, x = rows[i]
             p = 1 / (1 + np.exp(-np.clip(w[k] @ x + w[-1], -30, 30)))
             d = p - targets[i]
-            for at, g in ((k, d * x + 1e-5 * w[k]), (WIDTH, d)):
+            g = np.bincount(k, d * x, minlength=1)
+            at = np.unique(k)
+            g = g[at] + 1e-5 * w[at]
+            for at, g in ((at, g), (WIDTH, d)):
                 g2[at] += g * g
                 w[at] -= rate * g / np.sqrt(g2[at])
     return w
 
 
 def score_text(text: str | None, w: np.ndarray) -> float:
-    counts = Counter((text or "").split())
-    k, x = hashed(counts, statistics(text, counts))
+    k, x = hashed(text)
     return float(1 / (1 + np.exp(-np.clip(w[k] @ x + w[-1], -30, 30))))
 
 
