@@ -7,9 +7,9 @@ candidate merges over linked bytes. Both tiers are behind a bounded memo per Pyt
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from .common import ship
 from .mph import MinimalPerfectHash
 
 #: Pre-tokens in each of the two generations of a worker's memo; a full young one replaces the old one.
-MEMO = 200_000
+MEMO = 150_000
 
 
 class Memo(dict):
@@ -54,7 +54,7 @@ class Tokenizer:
             self.slot_key[s], self.slot_id[s] = k, ranks[k]
         self.byte_id = [ranks.get(bytes([i])) for i in range(256)]
         self.memo = Memo(self.piece_ids)
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Tokenizer:
@@ -68,27 +68,33 @@ class Tokenizer:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merges the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        n = len(piece)
-        get = self.ranks.get
+        n, get = len(piece), self.ranks.get
+        # a candidate is one integer, rank | begin | end, so that the heap compares numbers
+        sh = 20 if n < 1 << 20 else 40
+        low, top, step = (1 << sh) - 1, 2 * sh, (1 << sh) + 1
         end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; 0 once it is swallowed
         before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        at, heap = 2, []
+        for i in range(n - 1):
+            if (r := get(piece[i : i + 2])) is not None:
+                heap.append(r << top | at)
+            at += step
+        heapify(heap)
         while heap:
-            _, i, stop = pop(heap)
+            x = heappop(heap)
+            i, stop = x >> sh & low, x & low
             mid = end[i]
-            if not mid or mid >= stop or mid >= n or end[mid] != stop:
+            if not mid or mid >= stop or end[mid] != stop:
                 continue
             end[i], end[mid] = stop, 0
             if stop < n:
                 before[stop] = i
                 nxt = end[stop]
                 if (r := get(piece[i:nxt])) is not None:
-                    push(heap, (r, i, nxt))
+                    heappush(heap, r << top | i << sh | nxt)
             p = before[i]
             if p >= 0 and (r := get(piece[p:stop])) is not None:
-                push(heap, (r, p, stop))
+                heappush(heap, r << top | p << sh | stop)
         out, i = [], 0
         while i < n:
             j = end[i]
@@ -96,20 +102,24 @@ class Tokenizer:
             i = j
         return tuple(out)
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of one pre-token as 32-bit integers in bytes, the form in which they are remembered and joined."""
         ids = self.old.get(piece)
         if ids is None:
             raw = piece.encode("utf-8", "replace")
             one = self.whole(raw)
-            ids = (one,) if one is not None else self.merge(raw)
+            ids = array("i", (one,) if one is not None else self.merge(raw)).tobytes()
         if len(piece) <= 64:
             self.memo[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
         if len(self.memo) >= MEMO:
             self.old, self.memo = self.memo, Memo(self.piece_ids)
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
+        return b"".join(map(self.memo.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -153,11 +163,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: s
         tok = tokenizer(path, pattern)
         for whole in batches:
             for b in _slices(whole, text):
-                rows = [tok.encode(t) if t else [] for t in b.column(text).to_pylist()]
+                rows = [tok.encode_bytes(t) if t else b"" for t in b.column(text).to_pylist()]
                 ends = np.zeros(len(rows) + 1, dtype=np.int32)
-                np.cumsum([len(r) for r in rows], out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
-                del rows
+                np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+                flat = np.frombuffer(b"".join(rows), dtype=np.int32)
                 col = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], col], names=[*keep, output])
 

@@ -12,15 +12,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .bpe import _slices
 from .common import ship
 
 KINDS = ("assign", "access", "hex", "literal")
 _RANK = {k: i for i, k in enumerate(KINDS)}
-SPANS = "array<struct<kind:string,start:int,end:int,name:string,score:double>>"
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -132,28 +133,32 @@ def redact(text: str | None, spans, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _mapped(df: DataFrame, text: str, output: str, kind: T.DataType, f, arrow: pa.DataType) -> DataFrame:
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c != output]
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(output, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _slices(whole, text):
+                col = pa.array([f(t) for t in b.column(text).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], col], names=[*keep, output])
+
+    return df.mapInArrow(run, schema)
+
+
 def find_secrets(df: DataFrame, text: str = "text", threshold: float = 0.75, output: str = "secrets") -> DataFrame:
     """Adds `output`, the array of spans of each row's whole text (empty for a null or empty text). Rows are independent:
     no shuffle, repeated rows and ties need no rule, other columns pass through and an empty table stays empty. A column
     named `output` is replaced."""
-    ship(df.sparkSession)
-
-    @F.pandas_udf(SPANS)
-    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        keys = ("kind", "start", "end", "name", "score")
-        for s in parts:
-            yield pd.Series([[dict(zip(keys, x, strict=True)) for x in scan(t, threshold)] for t in s], dtype=object)
-
-    return df.withColumn(output, spans(F.col(text)))
+    keys = ("kind", "start", "end", "name", "score")
+    fields = [T.StringType(), T.IntegerType(), T.IntegerType(), T.StringType(), T.DoubleType()]
+    kind = T.ArrayType(T.StructType([T.StructField(k, t) for k, t in zip(keys, fields, strict=True)]))
+    arrow = pa.list_(pa.struct(list(zip(keys, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()], strict=True))))
+    return _mapped(df, text, output, kind, lambda t: [dict(zip(keys, x, strict=True)) for x in scan(t, threshold)], arrow)
 
 
 def redact_secrets(df: DataFrame, text: str = "text", threshold: float = 0.75, mark: str = "[SECRET]") -> DataFrame:
     """Replaces every span found in `text` by mark; null and empty texts stay as they are."""
-    ship(df.sparkSession)
-
-    @F.pandas_udf("string")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([redact(t, scan(t, threshold), mark) for t in s], dtype=object)
-
-    return df.withColumn(text, clean(F.col(text)))
+    clean = _mapped(df, text, "_clean", T.StringType(), lambda t: redact(t, scan(t, threshold), mark), pa.string())
+    return clean.select(*[F.col("_clean").alias(text) if c == text else F.col(c) for c in df.columns])
