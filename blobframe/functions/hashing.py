@@ -39,7 +39,7 @@ def hmac_sha256_hex(message: Column, secret: str) -> Column:
 
 
 def is_chunk_hash(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
 
 
 def chunk_path(value: Column) -> Column:
