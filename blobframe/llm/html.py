@@ -34,7 +34,7 @@ CLOSES = {
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("caption", "colgroup"),
 }
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "option": ("select",)}
-_TAG = re.compile(r"""<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*>?)|(?P<e>/?)(?P<n>[A-Za-z][A-Za-z0-9:_-]*)(?P<a>(?:[^"'>]|"[^"]*"|'[^']*')*)>|(?P<u>/?[A-Za-z][^<>]*)(?=<|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*>?)|(?P<e>/?)(?P<n>[A-Za-z][A-Za-z0-9:_-]*)(?P<a>(?:[^"'<>]|"[^"]*"|'[^']*')*+)>|(?P<u>/?[A-Za-z][^<>]*)(?=<|\Z))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
@@ -69,6 +69,7 @@ def parse(page: str | None) -> Node:
     root = Node("#root", (), None)
     at_node, parts, links, controls = root, [], 0, 0
     open_tags: list[tuple[str, Node]] = []  # block elements carry their node, inline ones the node around them
+    opened: dict[str, int] = defaultdict(int)
     in_link, pos, n = 0, 0, len(page or "")
     page = page or ""
 
@@ -93,6 +94,7 @@ def parse(page: str | None) -> Node:
         nonlocal at_node, in_link
         for tag, _ in open_tags[i:]:
             in_link -= tag == "a"
+            opened[tag] -= 1
         if any(tag not in INLINE for tag, _ in open_tags[i:]):
             flush()
         del open_tags[i:]
@@ -117,7 +119,7 @@ def parse(page: str | None) -> Node:
         if m["e"]:
             if name == "br":
                 parts.append(" ")
-            for i in range(len(open_tags) - 1, -1, -1):
+            for i in range(len(open_tags) - 1, -1, -1) if opened[name] else ():
                 if open_tags[i][0] == name:
                     pop_to(i)
                     break
@@ -140,8 +142,10 @@ def parse(page: str | None) -> Node:
                 i = max(k for k, (tag, _) in enumerate(open_tags) if tag == "a")
                 del open_tags[i]
                 in_link -= 1
+                opened["a"] -= 1
             if name not in VOID:
                 open_tags.append((name, at_node))
+                opened[name] += 1
                 in_link += name == "a"
             continue
         for i in range(len(open_tags) - 1, -1, -1):  # a block closes an open paragraph
@@ -157,6 +161,7 @@ def parse(page: str | None) -> Node:
             continue
         at_node = Node(name, attribute_tokens(m["a"]) if m["a"] else (), at_node)
         open_tags.append((name, at_node))
+        opened[name] += 1
         if name == "form":
             at_node.controls += 1
     flush()
