@@ -41,7 +41,7 @@ MEMO = 200_000
 #: The character that stands for each byte in a byte-level vocabulary: itself if printable in Latin-1, else the next from 256.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_MARK_RUN = re.compile(r"[^\w ][,.] |_[,.] ")
+_MARK_RUN = re.compile(r"[,.](?<=[^\w ].|_.) ")
 _BLOCK = "shard int, block int, base long, n_nulls int, n_docs int, n_tokens long, width int, lo long, hi long, payload binary, offsets binary, keys binary, seeds binary, prints binary, firsts binary"
 
 
