@@ -84,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that overlap no benchmark item."""
-    bad = contaminated(docs, benchmark, key, text).select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"))
-    same = docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_h"))
+    bad = contaminated(docs, benchmark, key, text)
+    same = docs[key].eqNullSafe(bad[key]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["text_hash"])
     return docs.join(bad, same, "left_anti")
 
 

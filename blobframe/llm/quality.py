@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import cut, ship
+from .common import OWN, cut, ship
 
 #: Bound of the scorer's training sample, in texts, and of a text in it, in characters.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -203,4 +203,4 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "qualit
 
 def drop_low_quality(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose score is at least the threshold."""
-    return score(df, model, text, "_quality").where(F.col("_quality") >= threshold).drop("_quality")
+    return score(df, model, text, OWN).where(F.col(OWN) >= threshold).drop(OWN)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import ship
+from .common import OWN, ship
 
 KINDS = ("assign", "access", "hex", "literal")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -160,5 +160,5 @@ def find_secrets(df: DataFrame, text: str = "text", threshold: float = 0.75, out
 
 def redact_secrets(df: DataFrame, text: str = "text", threshold: float = 0.75, mark: str = "[SECRET]") -> DataFrame:
     """Replaces every span found in `text` by mark; null and empty texts stay as they are."""
-    clean = _mapped(df, text, "_clean", T.StringType(), lambda t: redact(t, scan(t, threshold), mark), pa.string())
-    return clean.select(*[F.col("_clean").alias(text) if c == text else F.col(c) for c in df.columns])
+    clean = _mapped(df, text, OWN, T.StringType(), lambda t: redact(t, scan(t, threshold), mark), pa.string())
+    return clean.select(*[F.col(OWN).alias(text) if c == text else F.col(c) for c in df.columns])

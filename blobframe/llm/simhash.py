@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import components, cut, ship
+from .common import OWN, components, cut, ship
 
 #: A posting of more fingerprints than this is dealt over pairs of its blocks.
 BLOCK = 2048
@@ -201,6 +201,6 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     alone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("simhash").distinct()
     if not alone.limit(1).count():
         return kept
-    printed = fingerprints(df.where(F.col(key).isNull()), text, "_simhash", words)
-    nulls = printed.join(alone, printed["_simhash"] == alone["simhash"], "left_semi").dropDuplicates(["_simhash"]).drop("_simhash")
+    printed = fingerprints(df.where(F.col(key).isNull()), text, OWN, words)
+    nulls = printed.join(alone, printed[OWN] == alone["simhash"], "left_semi").dropDuplicates([OWN]).drop(OWN)
     return kept.unionByName(nulls)

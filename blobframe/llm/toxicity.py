@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import ship
+from .common import OWN, ship
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -327,4 +327,4 @@ def score(df: DataFrame, net: Network, text: str = "text", output: str = "toxici
 
 def drop_toxic(df: DataFrame, net: Network, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose score is under the threshold."""
-    return score(df, net, text, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return score(df, net, text, OWN).where(F.col(OWN) < threshold).drop(OWN)
