@@ -15,8 +15,20 @@ OWN = "__blobframe__"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch on its way to a Python worker: both sides hold some of them at a time, and texts can be long.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers where PYTHONPATH does not already do so."""
+    """Make this package importable in Python workers where PYTHONPATH does not already do so, and keep Arrow batches small;
+    a session that has set a smaller size keeps it."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(conf).rstrip("b"))
+    except ValueError:
+        now = BATCH_BYTES
+    if now > BATCH_BYTES:
+        spark.conf.set(conf, BATCH_BYTES)
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if any(p and os.path.realpath(p) == os.path.realpath(_ROOT) for p in paths):
         return
