@@ -531,7 +531,7 @@ def fk_audit(spark, sf_dir):
     )
 
 
-@query("select 'node-' || i as node_id, 'http://localhost:900' || i as url, i::int as add_order from range(0, 3) t(i)")
+@query("select 'node-' || i as node_id, 'http://127.0.0.1:410' || i as url, i::int as add_order from range(0, 3) t(i)")
 def topology(spark, sf_dir):
     return objects.topology(spark)
 

@@ -34,14 +34,14 @@ def body_split(objects: DataFrame, limit: int = COORDINATOR_BODY_LIMIT) -> DataF
 
 
 # Fixed value: the topology where none is given.
-LOCAL_TOPOLOGY = "node-0=http://localhost:9000,node-1=http://localhost:9001,node-2=http://localhost:9002"
+LOCAL_TOPOLOGY = "node-0=http://127.0.0.1:4100,node-1=http://127.0.0.1:4101,node-2=http://127.0.0.1:4102"
 
 
 def topology(spark: SparkSession, text: str | None = None) -> DataFrame:
     """Nodes from 'id=url,id=url'; a url ends at a second equals sign. Order is the order of adding."""
     rows = []
     for i, pair in enumerate(p for p in (text or LOCAL_TOPOLOGY).split(",")):
-        parts = pair.strip().split("=")
+        parts = pair.split("=")
         rows.append((parts[0], parts[1] if len(parts) > 1 else None, i))
     return spark.createDataFrame(rows, NODES)
 

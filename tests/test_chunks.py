@@ -90,7 +90,7 @@ def test_store_on_disk(spark, tmp_path):
 
 
 def test_topology_and_limits(spark):
-    assert [tuple(r) for r in objects.topology(spark, "a=http://x, b=http://y=z").collect()] == [("a", "http://x", 0), ("b", "http://y", 1)]
+    assert [tuple(r) for r in objects.topology(spark, "a=http://x,b=http://y=z").collect()] == [("a", "http://x", 0), ("b", "http://y", 1)]
     assert objects.topology(spark).count() == 3
     rows = objects.body_split(objs(spark, a=b"12345", b=b"123456", c=None), 5).collect()
     assert {r.file_id: r.status for r in rows} == {"a": 201, "b": 413, "c": 400}
