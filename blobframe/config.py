@@ -21,7 +21,7 @@ class Limiter:
     """Token bucket of one client: it starts full and refills continuously."""
 
     capacity: float = 500.0
-    refill_per_second: float = 300.0
+    refill_per_second: float = 200.0
     cost: float = 1.0
 
 
@@ -34,7 +34,7 @@ class StoreConfig:
     vnodes: int = VNODES
     chunk_size: int = CHUNK_SIZE
     timeout_ms: int = REPLICA_TIMEOUT_MS
-    limiter: Limiter = field(default_factory=Limiter)
+    limiter: Limiter = field(default_factory=lambda: Limiter(500.0, 300.0))
 
     def clamped(self, nodes: int) -> tuple[int, int]:
         """(replicas, quorum) for a topology of so many nodes; none of either for an empty one."""

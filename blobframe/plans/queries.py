@@ -17,6 +17,7 @@ from ..config import CHUNK_SIZE, DEV_SECRET, HTTP_BUCKETS, PRESIGN_TTL_SECONDS,
 from ..functions import chunking, hashing, presign
 from ..operators import catalog, gc, metrics, ratelimit, replication, ring
 from ..sources import objects
+from . import service
 
 SMALL = 256
 NOW_MS = 1_700_000_000_000
@@ -444,9 +445,10 @@ def http_histogram_sums(spark, sf_dir):
     return metrics.histogram_sums(requests(spark, sf_dir), "latency_s", "route", "status").withColumn("total", F.round("total", 4))
 
 
-@query(f"with {ATT}, lat as (select node_id, outcome, b / 1000.0 as latency_s from att) {histogram_sql('lat', 'latency_s', REPLICA_BUCKETS, 'node_id, outcome')}")
+@query(f"with {ATT}, lat as (select node_id, case when outcome = 'ok' then 'success' else 'error' end as outcome, b / 1000.0 as latency_s from att) {histogram_sql('lat', 'latency_s', REPLICA_BUCKETS, 'node_id, outcome')}")
 def replica_latency_histogram(spark, sf_dir):
-    return metrics.histogram(attempts(spark, sf_dir), "latency_s", REPLICA_BUCKETS, "node_id", "outcome").drop("le_value")
+    a = attempts(spark, sf_dir).withColumn("outcome", F.when(F.col("outcome") == "ok", "success").otherwise("error"))
+    return metrics.histogram(a, "latency_s", REPLICA_BUCKETS, "node_id", "outcome").drop("le_value")
 
 
 @query(f"with {REQ}, l as (select route, list_sort(list(latency_s)) as v from log group by 1) select route, p::int as p, v[least(len(v) - 1, floor(p / 100.0 * len(v)))::bigint + 1] as value, len(v) as n from l, (values (50), (90), (99), (100)) t(p)")
@@ -499,6 +501,17 @@ def metrics_text(spark, sf_dir):
     return metrics.exposition(n.select(F.lit("requests_total").alias("metric"), F.create_map(F.lit("route"), F.col("route")).alias("labels"), "value"))
 
 
+@query(f"""with {VERS}, cur as (select file_id, arg_max(version_id, created_at) as version_id from vers group by 1)
+select file_id, 200 as status, sha256(d) as digest, octet_length(d)::bigint as size from cur join vers using (file_id, version_id)""")
+def download(spark, sf_dir):
+    v = conversation_versions(spark, sf_dir)
+    cut = chunking.chunk(v, 64, key="version_id", keep_data=True)
+    files = catalog.current_versions(v, F.col("created_at")).withColumn("created_at", F.lit(NOW_MS).cast("long"))
+    store = cut.groupBy("chunk_hash").agg(F.first("data").alias("data"))
+    got = service.download(service.Tables(files, v.drop("data"), cut.select("version_id", "seq", "chunk_hash"), store), files)
+    return got.select("file_id", "status", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("size"))
+
+
 @query("select doc_id, case when octet_length(encode(text)) > 2000 then 413 else 201 end as status from documents where text is not null")
 def body_limit_split(spark, sf_dir):
     return objects.body_split(docs(spark, sf_dir), 2000).select(F.substring("file_id", 6, 30).cast("long").alias("doc_id"), "status")

@@ -28,6 +28,13 @@ def from_text(df: DataFrame, key: str, text: str, prefix: str = "file_") -> Data
     return df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("file_id"), F.encode(F.col(text), "UTF-8").alias("data"))
 
 
+def seeded_objects(spark: SparkSession, count: int, size: int, seed: int, prefix: str = "file_") -> DataFrame:
+    """Objects of `size` bytes that look random and are the same every time: runs of hashes of seed, object and place."""
+    runs = F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 32)), lambda i: F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string")), 256))
+    data = F.substring(F.unhex(F.array_join(runs, "")), 1, size)
+    return spark.range(count).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("file_id"), data.alias("data"))
+
+
 def body_split(objects: DataFrame, limit: int = COORDINATOR_BODY_LIMIT) -> DataFrame:
     """Adds `status`: 201 for a body that is taken, 400 for none, 413 for one over the limit."""
     return objects.withColumn("status", F.when(F.col("data").isNull(), 400).when(F.octet_length("data") > limit, 413).otherwise(201))
