@@ -43,7 +43,8 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {i: b for b, i in ranks.items()}
+        by_id = {i: b for b, i in ranks.items()}
+        self.table = [by_id.get(i) for i in range(max(by_id) + 1)]
         self.find = regex.compile(pattern).findall
         keys = list(ranks)
         self.mph = MinimalPerfectHash.build([xxhash.xxh64_intdigest(k, 0) for k in keys])
@@ -52,7 +53,6 @@ class Tokenizer:
         self.slot_id = [0] * len(keys)
         for s, k in zip(slots.tolist(), keys, strict=True):
             self.slot_key[s], self.slot_id[s] = k, ranks[k]
-        self.byte_id = [ranks.get(bytes([i])) for i in range(256)]
         self.memo = Memo(self.piece_ids)
         self.old: dict[str, bytes] = {}
 
@@ -122,7 +122,12 @@ class Tokenizer:
         return np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.table.__getitem__, ids))
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each row's ids, rows being the stretches between ends."""
+        get = self.table.__getitem__
+        return [b"".join(map(get, ids[s:e].tolist())) for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _loaded: dict[tuple[str, str], Tokenizer] = {}
@@ -152,12 +157,16 @@ def _added(df: DataFrame, output: str, kind: T.DataType) -> tuple[list[str], T.S
     return keep, T.StructType([*[df.schema[c] for c in keep], T.StructField(output, kind)])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds `output` (array<int>): the ids of each row's whole text without special tokens, an empty array for a null or
-    empty text. `path` is a rank file that every executor has. Rows are independent, so repeated rows, ties and empty tables
-    need no rule; a column named `output` is replaced, others pass through."""
+    empty text. With a name in `decoded` the ids are decoded again in the same pass and that column (binary) holds their
+    bytes. `path` is a rank file that every executor has. Rows are independent, so repeated rows, ties and empty tables need no
+    rule; columns named like an output are replaced, others pass through."""
     ship(df.sparkSession)
-    keep, schema = _added(df, output, T.ArrayType(T.IntegerType(), False))
+    names = [output, decoded] if decoded else [output]
+    keep = [c for c in df.columns if c not in names]
+    kinds = [T.ArrayType(T.IntegerType(), False), T.BinaryType()]
+    schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
@@ -167,8 +176,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: s
                 ends = np.zeros(len(rows) + 1, dtype=np.int32)
                 np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
                 flat = np.frombuffer(b"".join(rows), dtype=np.int32)
-                col = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], col], names=[*keep, output])
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    out.append(pa.array(tok.decode_rows(flat, ends), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *out], names=[*keep, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -181,12 +192,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", output: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)
-        top = max(tok.tokens) + 1
-        table = [tok.tokens.get(i) for i in range(top)]
         for b in batches:
             col = b.column(ids)
-            flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-            out = [b"".join(map(table.__getitem__, flat[s:e].tolist())) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            out = tok.decode_rows(col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, output])
 
     return df.mapInArrow(run, schema)

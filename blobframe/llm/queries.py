@@ -29,8 +29,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern()).drop("text")
-    return bpe.decode(ids, path, pattern()).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, path, pattern(), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"),

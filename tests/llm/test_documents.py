@@ -50,6 +50,8 @@ def test_bpe_equals_library(spark):
     for r in df.collect():
         assert list(r.ids) == enc.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    one = bpe.encode(odd(spark), RANKS, P.PATTERN, decoded="hash")
+    assert one.columns == ["doc_id", "text", "ids", "hash"] and sorted(map(tuple, one.select("doc_id", "ids", "hash").collect())) == sorted(map(tuple, df.select("doc_id", "ids", "decoded").collect()))
     assert bpe.decode(bpe.encode(empty(spark), RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
