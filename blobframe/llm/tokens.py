@@ -37,7 +37,7 @@ from .mph import MinimalPerfectHash, _mix
 #: A block ends with the document that brings it to so many ids or documents.
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 8192
 #: Chunks in each of the two generations of a worker's memo.
-MEMO = 200_000
+MEMO = 180_000
 #: The character that stands for each byte in a byte-level vocabulary: itself if printable in Latin-1, else the next from 256.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -69,7 +69,6 @@ class ChunkEncoder:
         self.dtype, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.model = self.tok.model
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.memo = Memo(self.learn)
 
     def learn(self, chunk: str) -> bytes:
@@ -80,9 +79,7 @@ class ChunkEncoder:
             low = chunk.lower()
             word = low if low.isalpha() else low.rstrip(",.;:!?")
             if word.isalpha() and (word.isascii() or "\u03a3" not in chunk and is_normalized("NFC", chunk)):
-                out = self.words.get(word)
-                if out is None:
-                    out = self.words[word] = self.merged(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))
+                out = self.merged(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))
                 if word is not low and len(word) < len(low):
                     out += self.merged(low[len(word) :])
             else:
@@ -97,8 +94,6 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, Memo(self.learn)
-        if len(self.words) > MEMO:
-            self.words = {}
         get = self.memo.__getitem__
         return [b"".join(map(get, _plain(t).split(" "))) if t else b"" for t in texts]
 
