@@ -34,7 +34,7 @@ _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
 _PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_.\-])({_NAME})["'\]]{{0,2}}[ \t]*(?::=|=>|=|:)[ \t]*(?=(["'`A-Za-z0-9_$+/]))""", re.A
 )
-_OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9_+/.=$\-]{1,4096}))""", re.A)
+_OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_+/.=$\-]++))""", re.A)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|&)[ \t]*(?=[\"'`A-Za-z_])", re.A)
 _IDENT = re.compile(rf"{_NAME}\Z", re.A)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")

@@ -224,3 +224,16 @@ def test_secret_query(spark):
     got = secrets.find_secrets(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r.secrets == [] for r in got)
     assert secrets.redact_secrets(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("quote", ["", "'", '"', "`"])
+def test_long_secrets_are_whole(quote):
+    rnd = random.Random(3)
+    value = "".join(rnd.choice("abcdefghijkLMNOPQRSTUVWXYZ0123456789+/") for _ in range(10_000))
+    text = f"before\nprivate_key = {quote}{value}{quote}\nafter"
+    assert secrets.redact(text, secrets.scan(text)) == f"before\nprivate_key = {quote}[SECRET]{quote}\nafter"
+
+
+def test_long_bare_runs_stay_cheap():
+    text = "x=" * 100_000
+    assert secrets.scan(text) == []
