@@ -30,7 +30,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 # A name, an operator and the first operand; operands are quoted literals, names or bare configuration values.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_.\-])({_NAME})["'\]]{{0,2}}[ \t]*(?::=|=>|=|:)[ \t]*(?=(["'`A-Za-z0-9_$+/]))""", re.A
 )
@@ -66,31 +66,61 @@ def literal_weight(value: str) -> float:
     return min(0.5, 0.04 * min(n, 5) * (kinds - 1) * 0.5 + 0.06 * max(0.0, h - 1.5))
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, parts) of each assignment in order; a part is (start, end, literal text), taken from the constant that a
-    reference names where it is one."""
-    out: list[tuple[str, list[tuple[int, int, str]]]] = []
-    known: dict[str, list[tuple[int, int, str]]] = {}
+#: Pieces up to which an assignment's constants are expanded as often as they are named, and then once each.
+EXPANDED = 64
+
+
+def assignments(text: str) -> Iterator[tuple[str, list]]:
+    """(name, parts) of each assignment in order; a part is the (start, end) of a literal or, for a reference to a constant,
+    the list of that constant's own parts. No part holds text, so long values that lie in each other take no memory."""
+    known: dict[str, list] = {}
+    longest = begin = stop = 0
     for m in _PAIR.finditer(text):
-        parts: list[tuple[int, int, str]] = []
+        parts: list = []
         at = m.end()
         while True:
-            o = _OPERAND.match(text, at)
-            if not o:
-                break
-            g = next(i for i in (1, 2, 3, 4) if o[i] is not None)
-            if g == 4 and o[4] in known:
-                parts += known[o[4]]
-            elif g != 4 or not parts:
-                parts.append((o.start(g), o.end(g), o[g]))
-            at = o.end()
+            if begin <= at < stop:  # within the last bare value, which ends where that ends
+                s, e, bare = at, stop, True
+                at = e
+            else:
+                o = _OPERAND.match(text, at)
+                if not o:
+                    break
+                g = o.lastindex
+                s, e, bare, at = o.start(g), o.end(g), g == 4, o.end()
+                if bare:
+                    begin, stop = s, e
+            constant = known.get(text[s:e]) if bare and e - s <= longest else None
+            if constant is not None:
+                parts.append(constant)
+            elif not bare or not parts:
+                parts.append((s, e))
             j = _JOIN.match(text, at)
-            if not j or len(parts) > 64:
+            if not j:
                 break
             at = j.end()
         if parts:
             known[m[1]] = parts
-            out.append((m[1], parts))
+            longest = max(longest, len(m[1]))
+            yield m[1], parts
+
+
+def expanded(parts: list) -> list[tuple[int, int]]:
+    """The spans of an assignment's literals in order, those of its constants among them: every one is there, and beyond
+    EXPANDED pieces none is expanded again."""
+    out: list[tuple[int, int]] = []
+    seen: set[int] = set()
+    todo = [iter(parts)]
+    while todo:
+        for p in todo[-1]:
+            if isinstance(p, tuple):
+                out.append(p)
+            elif len(out) <= EXPANDED or id(p) not in seen:
+                seen.add(id(p))
+                todo.append(iter(p))
+                break
+        else:
+            todo.pop()
     return out
 
 
@@ -108,9 +138,10 @@ def scan(text: str | None, threshold: float = 0.75) -> list[tuple[str, int, int,
             w = name_weight(name)
             if w <= 0:
                 continue
-            score = w + literal_weight("".join(p[2] for p in parts))
+            spans = expanded(parts)
+            score = w + literal_weight("".join([text[s:e] for s, e in spans]))
             if score >= threshold:
-                for s, e, _ in parts:
+                for s, e in spans:
                     if e > s:
                         found[s, e] = max(found.get((s, e), (0.0, "")), (round(min(score, 1.0), 4), name))
         out += [

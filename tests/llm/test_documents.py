@@ -237,3 +237,16 @@ def test_long_secrets_are_whole(quote):
 def test_long_bare_runs_stay_cheap():
     text = "x=" * 100_000
     assert secrets.scan(text) == []
+
+
+def test_long_names_and_concatenations():
+    name = "spring.security.oauth2.client.registration.internal-billing-service.private-key"
+    assert [(k, n) for k, _, _, n, _ in secrets.scan(f"{name}=hT5_qW9zLm3XcV8")] == [("literal", name)]
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abcdeFGHIJ0123456789") for _ in range(9)) for _ in range(200)]
+    text = "private_key = " + " + ".join(f"'{p}'" for p in parts)
+    assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == parts
+    text = "\n".join(["k = 'Zx9kQ2mL'", *(f"k = k + '{p}'" for p in parts), "db_pwd = k"])
+    assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == ["Zx9kQ2mL", *parts]
+    text = "k0 = 'Zx9kQ2mL'\n" + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(200)) + "db_pwd = k200 + 'pW7rT4vB'"
+    assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == ["Zx9kQ2mL", "pW7rT4vB"]
