@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -144,11 +145,15 @@ def scan(text: str | None, threshold: float = 0.75) -> list[tuple[str, int, int,
                 for s, e in spans:
                     if e > s:
                         found[s, e] = max(found.get((s, e), (0.0, "")), (round(min(score, 1.0), 4), name))
-        out += [
-            ("literal", s, e, name, score)
-            for (s, e), (score, name) in found.items()
-            if not any(k != "literal" and a <= s and e <= b for k, a, b, *_ in out)
-        ]
+        # a literal within a span of the plain rules is left out: of those that begin no later, the farthest end tells
+        starts, reach = [], []
+        for _, a, b, *_ in sorted(out, key=lambda x: x[1]):
+            starts.append(a)
+            reach.append(max(b, reach[-1]) if reach else b)
+        for (s, e), (score, name) in found.items():
+            k = bisect_right(starts, s)
+            if not k or reach[k - 1] < e:
+                out.append(("literal", s, e, name, score))
     return sorted(out, key=lambda x: (x[1], _RANK[x[0]], x[2]))
 
 
