@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Offsets that each mask reads in a window of SPAN tokens.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 7))
+#: Offsets that each mask reads in a window of SPAN tokens. Of the substitutions that the rule below accepts in an item of SPAN to
+#: WINDOW tokens, each arrangement leaves some mask untouched at some place (a test enumerates them).
+MASKS = ((0, 4, 5, 6, 7), (0, 1, 3, 4, 6), (0, 1, 3, 6, 7), (1, 3, 4, 5, 7))
 SPAN = 8
 #: A hit counts if, of WINDOW tokens of the item that hold it (or of the whole item where that is shorter), SHARE are equal.
 WINDOW, SHARE = 16, 0.8
-#: Benchmark seeds up to this number are broadcast; beyond it the join shuffles.
-BROADCAST_SEEDS = 500_000
+#: Bytes of the benchmark's seeds, and of its words, up to which they are broadcast; beyond it the joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: str) -> Column:
@@ -24,14 +25,18 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(tokens: str) -> Column:
-    """The masks' hashes at every position, one mask after the other."""
+def _seeds(hashes: str) -> Column:
+    """The masks' hashes at every position, one mask after the other, from the tokens' own hashes."""
 
     def at(mask: int):
-        return lambda i: F.xxhash64(F.lit(mask), *[F.get(tokens, i + F.lit(o)) for o in MASKS[mask]])
+        return lambda i: F.xxhash64(F.lit(mask), *[F.get(hashes, i + F.lit(o)) for o in MASKS[mask]])
 
-    places = F.sequence(F.lit(0), F.size(tokens) - F.lit(SPAN))
-    return F.when(F.size(tokens) >= SPAN, F.concat(*[F.transform(places, at(m)) for m in range(len(MASKS))]))
+    places = F.sequence(F.lit(0), F.size(hashes) - F.lit(SPAN))
+    return F.when(F.size(hashes) >= SPAN, F.concat(*[F.transform(places, at(m)) for m in range(len(MASKS))]))
+
+
+def _token_hashes(tokens: str) -> Column:
+    return _held(F.transform(tokens, lambda w: F.xxhash64(w)))
 
 
 def _held(value: Column) -> Column:
@@ -40,18 +45,25 @@ def _held(value: Column) -> Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified hits: the columns k and h of docs, item, and the number of equal tokens on the diagonal."""
-    n = F.size("it") - F.lit(SPAN - 1)
-    bench = (
-        items.select("item", "it", F.posexplode_outer(_seeds("it")).alias("x", "seed"))
-        .where("seed is not null")
-        .select("item", "it", "seed", F.pmod("x", n).alias("ipos"), F.floor(F.col("x") / n).cast("int").alias("mask"))
-    )
-    if bench.count() <= BROADCAST_SEEDS:
-        bench = F.broadcast(bench)
+    """Verified hits: the columns k and h of docs, item, and the number of equal tokens on the diagonal. Seeds are joined without
+    the texts they stand for; an item's words come to the hits, and where the join shuffles, the document's do too."""
+    items = items.withColumn("id", F.xxhash64("item", "it")).distinct()
+    n = F.size("g") - F.lit(SPAN - 1)
+    bench = items.select("id", _token_hashes("it").alias("g")).select("id", "g", F.posexplode_outer(_seeds("g")).alias("x", "seed")).where("seed is not null")
+    bench = bench.select("id", "seed", F.pmod("x", n).alias("ipos"), F.floor(F.col("x") / n).cast("int").alias("mask"))
+    small = bench.count() * 64 <= BROADCAST_BYTES  # a row is four numbers and its overhead
     # outer generators, as an inner one would add a filter that computes the seeds once more; no seed joins with nothing
-    seeds = docs.withColumn("seeds", _seeds("t")).select("k", "h", "t", F.posexplode_outer("seeds").alias("y", "seed"))
-    met = seeds.join(bench, "seed").withColumn("diag", F.col("y") - F.col("mask") * (F.size("t") - F.lit(SPAN - 1)) - F.col("ipos"))
+    seeds = docs.select("k", "h", "t", _token_hashes("t").alias("g")).select("k", "h", "t", F.size("t").alias("m"), _seeds("g").alias("seeds"))
+    keep = ["k", "h", *(["t"] if small else [])]
+    seeds = seeds.select(*keep, "m", F.posexplode_outer("seeds").alias("y", "seed"))
+    met = seeds.join(F.broadcast(bench) if small else bench, "seed")
+    met = met.select(*keep, "id", "ipos", (F.col("y") - F.col("mask") * (F.col("m") - F.lit(SPAN - 1)) - F.col("ipos")).alias("diag"))
+    if not small:
+        same = F.col("dh") == F.col("h")
+        whole = docs.select(F.col("k").alias("dk"), F.col("h").alias("dh"), "t")
+        met = met.distinct().join(whole, same & F.col("dk").eqNullSafe(F.col("k"))).drop("dk", "dh")
+    words_bytes = items.agg(F.coalesce(F.sum(F.aggregate("it", F.lit(64).cast("long"), lambda s, w: s + F.octet_length(w) + F.lit(16))), F.lit(0))).first()[0]
+    met = met.join(F.broadcast(items) if words_bytes <= BROADCAST_BYTES else items, "id")
     # equality of the item's tokens with the document's along the diagonal
     equal = F.transform("it", lambda w, j: F.when(F.col("diag") + j >= 0, F.coalesce(F.get("t", F.col("diag") + j) == w, F.lit(False))).otherwise(F.lit(False)).cast("int"))
     met = met.select("k", "h", "item", "ipos", F.size("it").alias("n"), _held(equal).alias("eq"))

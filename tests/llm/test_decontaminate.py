@@ -37,7 +37,7 @@ def test_substitutions(spark):
 def test_join_without_broadcast_is_the_same(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     a = {tuple(r) for r in queries.op5_decontaminate(spark, sf).collect()}
-    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert a and a == {tuple(r) for r in queries.op5_decontaminate(spark, sf).collect()}
 
 
