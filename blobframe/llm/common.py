@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,11 +49,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its
+    own; on a cluster that is an error, as executors do not see each other's folders."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="blobframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -63,25 +65,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back, which ends its lineage."""
+    """Write df as Parquet in the shared folder and read it back, which ends its lineage. The folder goes when the driver's JVM
+    ends at the latest; what no later plan reads is to be removed before."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    files, p = _files(spark, path)
+    files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that have been cut."""
-    import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+def remove(spark: SparkSession, path: str) -> None:
+    files, p = _files(spark, path)
+    files.delete(p, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
