@@ -193,64 +193,100 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-FEATURES = 34
+FEATURES = 40
 _STOPS = re.compile(r"[.!?,;:]")
 
 
 def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
-    """A row per node. odds: log-odds of tags ('<tag') and attribute tokens, from training."""
+    """A row per node, in time linear in the nodes whatever their siblings. odds: log-odds of tags ('<tag') and attribute tokens,
+    from training."""
     n = len(nodes)
-    f = np.zeros((n, FEATURES), dtype=np.float32)
     if not n:
-        return f
-    chars, links, runs, tags, paras, stops, ctrl, words = ([0] * n for _ in range(8))
-    for x in reversed(nodes):
-        i = x.order
+        return np.zeros((0, FEATURES), dtype=np.float32)
+    up, end, tag_of, shape_of, numbers = [-1] * n, [0] * n, [0] * n, [0] * n, []
+    depth, own, low, high, attr_low, attr_high = [0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    kinds: dict[object, int] = {}
+    for i, x in enumerate(nodes):
+        kids, text = x.children, x.text
         if x.tag == "#text":
-            chars[i], links[i], runs[i] = len(x.text), x.links, 1
-            stops[i], words[i] = len(_STOPS.findall(x.text)), x.text.count(" ") + 1
-            if x.parent.tag == "p":
-                paras[i] = chars[i]
-        tags[i] += 1
-        ctrl[i] += x.controls
-        if (p := x.parent).parent is not None:
-            j = p.order
-            for a in (chars, links, runs, tags, paras, stops, ctrl, words):
-                a[j] += a[i]
-    total, before, seen = max(1, sum(chars[x.order] for x in nodes if x.parent.parent is None)), [0] * n, 0
-    for x in nodes:
-        before[x.order] = seen
-        if x.tag == "#text":
-            seen += len(x.text)
-    low, high, depth, own, attr_low, attr_high = ([0.0] * n for _ in range(6))
-    for x in nodes:
-        i, p = x.order, x.parent
-        j = p.order if p.parent is not None else -1
+            size = len(text)
+            numbers.append((size, x.links, 1, size if x.parent.tag == "p" else 0, len(_STOPS.findall(text)), text.count(" ") + 1, "©" in text, x.controls, 0, 0))
+        else:
+            numbers.append((0, 0, 0, 0, 0, 0, 0, x.controls, len(kids), len(x.tokens)))
+        tag_of[i] = kinds.setdefault(x.tag, len(kinds))
+        # what repeated blocks have alike: the tag, the first child's tag and whether there are several
+        shape_of[i] = kinds.setdefault((x.tag, kids[0].tag if kids else "", min(2, len(kids))), len(kinds))
         o = odds.get("<" + x.tag, 0.0)
-        a = [odds.get(t, 0.0) for t in x.tokens]
-        own[i], attr_low[i], attr_high[i] = o, min(a, default=0.0), max(a, default=0.0)
-        low[i] = min(low[j] if j >= 0 else 0.0, o, attr_low[i])
-        high[i] = max(high[j] if j >= 0 else 0.0, o, attr_high[i])
-        depth[i] = depth[j] + 1 if j >= 0 else 0
-    groups: dict[int, list[Node]] = defaultdict(list)
-    for x in nodes:
-        groups[id(x.parent)].append(x)
-    for sib in groups.values():
-        c = [chars[y.order] for y in sib]
-        ld = [links[y.order] / max(1, k) for y, k in zip(sib, c, strict=True)]
-        all_c, k = sum(c), len(sib)
-        for s, x in enumerate(sib):
-            i, p = x.order, x.parent
-            j = p.order if p.parent is not None else -1
-            ch = chars[i]
-            f[i] = (
-                depth[i], np.log1p(ch), links[i] / max(1, ch), np.log(tags[i]), ch / tags[i], paras[i] / max(1, ch), stops[i] / max(1, ch), words[i] / max(1, runs[i]),
-                own[i], attr_low[i], attr_high[i], low[i], high[i], own[j] if j >= 0 else 0.0, attr_low[j] if j >= 0 else 0.0, attr_high[j] if j >= 0 else 0.0,
-                s / k, k, ch / max(1, all_c), ch / total, (sum(ld) - ld[s]) / max(1, k - 1), sum(y.tag == x.tag for y in sib[:40]) / min(k, 40), before[i] / total, x.tag == "#text",
-                x.tag[0] == "h" and x.tag[1:].isdigit(), min(ctrl[i], 5), x.tag in ("li", "ul", "ol"), np.log1p(c[s - 1]) if s else -1.0, np.log1p(c[s + 1]) if s + 1 < k else -1.0, np.log1p(max(c)),
-                links[j] / max(1, chars[j]) if j >= 0 else 0.0, paras[j] / max(1, chars[j]) if j >= 0 else 0.0, (before[i] + ch) / total, x.tag == "#text" and "©" in x.text[:80],
-            )
-    return f
+        own[i] = o
+        if x.tokens:
+            known = [odds.get(t, 0.0) for t in x.tokens]
+            attr_low[i], attr_high[i] = min(known), max(known)
+        if x.parent.parent is not None:
+            j = up[i] = x.parent.order
+            depth[i] = depth[j] + 1
+            low[i], high[i] = min(low[j], o, attr_low[i]), max(high[j], o, attr_high[i])
+        else:
+            low[i], high[i] = min(0.0, o, attr_low[i]), max(0.0, o, attr_high[i])
+    for i in range(n - 1, -1, -1):
+        end[i] = max(end[i], i + 1)
+        if up[i] >= 0:
+            end[up[i]] = max(end[up[i]], end[i])
+    at, end, up = np.arange(n), np.array(end), np.array(up)
+    leaf = np.array(numbers, dtype=np.float64)
+    sums = np.concatenate([np.zeros((1, leaf.shape[1])), np.cumsum(leaf, axis=0)])
+    chars, links, runs, paras, stops, words, marks, ctrl = (sums[end, k] - sums[:-1, k] for k in range(8))
+    tags, before, total = end - at, sums[:-1, 0], max(1.0, sums[-1, 0])
+    text, heading, listed = (np.array([f(x.tag) for x in nodes], dtype=bool) for f in (_is_text, _is_heading, _is_list))
+    some, density = np.maximum(chars, 1), links / np.maximum(chars, 1)
+    # siblings, one group after the other
+    order = np.argsort(up, kind="stable")
+    first = np.flatnonzero(np.append(True, up[order][1:] != up[order][:-1]))
+    size = np.diff(np.append(first, n))
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        """A value per group to its nodes."""
+        out = np.empty(n)
+        out[order] = np.repeat(x, size)
+        return out
+
+    def grouped(x: np.ndarray, f) -> np.ndarray:
+        return spread(f.reduceat(x[order], first))
+
+    def alike(x: list[int]) -> np.ndarray:
+        _, which, count = np.unique((up + 1) * len(kinds) + np.array(x), return_inverse=True, return_counts=True)
+        return count[which]
+
+    k, place = spread(size), np.empty(n)
+    place[order] = np.arange(n) - np.repeat(first, size)
+    most = grouped(chars, np.maximum)
+    largest = grouped(np.where(chars == most, place, n), np.minimum)
+    heads = np.cumsum(heading[order]) - heading[order]
+    heads_before = np.empty(n)
+    heads_before[order] = heads - np.repeat(heads[first], size)
+    prev, following = np.full(n, -1.0), np.full(n, -1.0)
+    inner = np.flatnonzero(up[order][1:] == up[order][:-1])
+    prev[order[inner + 1]] = np.log1p(chars[order[inner]])
+    following[order[inner]] = np.log1p(chars[order[inner + 1]])
+    above = lambda x: np.where(up >= 0, np.asarray(x)[up], 0.0)
+    return np.stack([
+        depth, np.log1p(chars), density, np.log(tags), chars / tags, paras / some, stops / some, words / np.maximum(runs, 1),
+        own, attr_low, attr_high, low, high, above(own), above(attr_low), above(attr_high),
+        place / k, k, chars / np.maximum(grouped(chars, np.add), 1), chars / total, (grouped(density, np.add) - density) / np.maximum(k - 1, 1), alike(tag_of) / k, before / total, text,
+        heading, np.minimum(ctrl, 5), listed, prev, following, np.log1p(most), above(density), above(paras / some), (before + chars) / total, text & (marks > 0),
+        alike(shape_of) / k, leaf[:, 8], np.sign(place - largest), heads_before, marks, leaf[:, 9],
+    ], axis=1).astype(np.float32)
+
+
+def _is_text(tag: str) -> bool:
+    return tag == "#text"
+
+
+def _is_heading(tag: str) -> bool:
+    return tag[0] == "h" and tag[1:].isdigit()
+
+
+def _is_list(tag: str) -> bool:
+    return tag in ("li", "ul", "ol")
 
 
 class Boosted:
@@ -321,7 +357,7 @@ def decode(nodes: list[Node], score: np.ndarray) -> np.ndarray:
 class Extractor:
     """Token log-odds and trees."""
 
-    def __init__(self, pages: int = 1600, seed: int = 11):
+    def __init__(self, pages: int = 2400, seed: int = 11):
         made = [generate(random.Random(seed * 100_003 + i)) for i in range(pages)]
         parsed = [(parse(p), kept) for p, kept in made]
         counts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
@@ -393,9 +429,15 @@ def generate(r: random.Random) -> tuple[str, None]:
         return "<ul>" + "".join(f"<li>{link()}" + pick("</li>", "") for _ in range(k)) + "</ul>" if r.random() < 0.7 else pick(" | ", " ").join(link() for _ in range(k))
 
     def named(tag, *names):
-        """An element of that tag, or a div with such a name."""
+        """An element of that tag, or a div with such a name, or one whose name says nothing or that has none."""
+        if bare:
+            return "div", strange()
         return (tag, attr(*names) if r.random() < 0.3 else "") if tag and r.random() < 0.6 else (pick("div", "div", "section"), attr(*names))
 
+    def strange():
+        """No name, or an invented one."""
+        return "" if r.random() < 0.6 else f' class="{"".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))}"'
+
     def wrap(tag_attr, body):
         return f"<{tag_attr[0]}{tag_attr[1]}>{body}</{tag_attr[0]}>"
 
@@ -430,6 +472,14 @@ def generate(r: random.Random) -> tuple[str, None]:
         return f"<form{attr('search', 'login', 'signup', 'newsletter') if r.random() < 0.5 else ''}>" + pick(f"<label>{_words(r, 1, 4)}</label><input>", f"<p>{_words(r, 2, 25)}</p><input><button>{_words(r, 1, 2)}</button>", f"{_words(r, 2, 12)}<input>") + "</form>"
 
     def comments():
+        odd = r.random() < (0.7 if bare else 0.5)
+        if odd:  # known by their form alone: blocks alike, each with a name and a time or the like before its words
+            tag, by = pick("div", "div", "li", "section"), pick("b", "strong", "cite", "span", "i", "a href=x")
+            inner = strange() if r.random() < 0.5 else ""
+            said = lambda: "".join(f"<p>{_words(r, 2, 80)}</p>" for _ in range(r.choice([1, 1, 1, 2])))
+            each = [f"<{tag}{inner}>" + pick(f"<{by}>{_words(r, 1, 2)}</{by.split()[0]}>", f"<p><{by}>{_words(r, 1, 2)}</{by.split()[0]}></p>", f"<h4>{_words(r, 1, 2)}</h4>") + said() + pick("", link(1, 1)) + f"</{tag}>" for _ in range(r.randint(2, 7))]
+            head = f"<{(h := pick('h2', 'h3', 'h4'))}>{_words(r, 1, 3)}</{h}>" if r.random() < 0.7 else ""
+            return wrap((pick("section", "div", "div", "ul") if tag != "li" else pick("ul", "ol"), strange()), head + "".join(each))
         each = [
             wrap((pick("li", "div", "article"), attr("comment", "reply", "comment-body", "response")), pick(f"<b>{_words(r, 1, 2)}</b>", link(), f"<cite>{_words(r, 1, 2)}</cite>", "") + "".join(f"<p>{_words(r, 2, 80)}</p>" for _ in range(r.randint(1, 2))))
             if r.random() < 0.7
@@ -453,10 +503,14 @@ def generate(r: random.Random) -> tuple[str, None]:
         body = pick("&copy; " + _words(r, 1, 2) + " &middot; " + _words(r, 1, 40), f"<p>&copy; {_words(r, 1, 20)}</p>", links(4) + _words(r, 2, 30), f"<p>{_words(r, 5, 60)}</p>")
         return wrap(named("footer", "footer", "foot", "bottom", "copyright", "site-footer", "legal", "colophon"), body)
 
-    lone = r.random() < 0.06
+    lone, bare = r.random() < 0.06, r.random() < 0.2
     body = prose(True, r.choice([1, 1, 2, 3, 5, 8, 12, 20, 40]) if not lone else r.randint(1, 3))
     if r.random() < 0.8:
-        body.insert(0, f"<h1>{_words(r, 1, 12, True)}</h1>")
+        title = r.random()
+        if title < 0.06 and not lone:  # a header's title goes with the header, as its other lines do
+            body.insert(0, f"<header>{pick('', f'<p>{_words(r, 1, 4)}</p>')}<h1>{_words(r, 1, 12)}</h1>{pick('', f'<p>{_words(r, 2, 9)}</p>', f'<div>{_words(r, 2, 9)}</div>')}</header>")
+        else:
+            body.insert(0, f"<h1>{_words(r, 1, 12, True)}</h1>")
     for make, chance in ((advert, 0.25), (side, 0.15), (form, 0.08), (notice, 0.08)):
         if r.random() < chance:
             body.insert(r.randint(1, len(body)), make())
@@ -465,17 +519,28 @@ def generate(r: random.Random) -> tuple[str, None]:
     if lone:
         return "".join(body) if r.random() < 0.5 else f"<html><body>{''.join(body)}</body></html>", None
     kind = r.random()
-    shell = ("article", "") if kind < 0.5 else ("article", attr("post", "story", "entry", "article")) if kind < 0.62 else ("main", "") if kind < 0.7 else ("div", attr("content", "article", "post", "entry-content", "story", "article-body", "main", "text", "post-content")) if kind < 0.94 else ("body", None)
+    shell = ("div", strange()) if bare else ("article", "") if kind < 0.5 else ("article", attr("post", "story", "entry", "article")) if kind < 0.62 else ("main", "") if kind < 0.7 else ("div", attr("content", "article", "post", "entry-content", "story", "article-body", "main", "text", "post-content")) if kind < 0.94 else ("body", None)
+    if len(body) > 2 and r.random() < 0.08:  # in parts
+        part = (pick("section", "section", "div"), strange() if r.random() < 0.4 else "")
+        ends = sorted({len(body), *(r.randrange(1, len(body)) for _ in range(r.randint(1, 3)))})
+        body = [wrap(part, "".join(body[a:b])) for a, b in zip([0, *ends], ends)]
     main = "".join(body) if shell[1] is None else wrap(shell, "".join(body))
     if shell[1] is not None and r.random() < 0.25:
         main = wrap(pick(("main", ""), ("div", attr("wrapper", "page", "container", "layout")), ("section", "")), main + (side() if r.random() < 0.3 else "") + (comments() if r.random() < 0.3 else ""))
+    while shell[1] is not None and r.random() < 0.2:  # wrappers of layout alone
+        main = wrap(("div", pick("", attr("row", "col", "inner", "grid", "columns", "wrap"))), main)
     before = [f() for f, c in ((header, 0.4), (nav, 0.75), (notice, 0.3), (advert, 0.45), (form, 0.2), (side, 0.2)) if r.random() < c]
-    after = [f() for f, c in ((advert, 0.2), (side, 0.35), (comments, 0.4), (form, 0.2), (notice, 0.15), (nav, 0.15)) if r.random() < c]
+    after = [f() for f, c in ((advert, 0.2), (side, 0.35), (comments, 0.45), (form, 0.2), (notice, 0.15), (nav, 0.15)) if r.random() < c]
     r.shuffle(before)
     r.shuffle(after)
     if r.random() < 0.8:
         after.append(footer())
-    page = "".join([*before, main, *after])
+    if shell[1] is not None and r.random() < (0.35 if bare else 0.04):  # laid out as a table
+        cells = [f"<td>{x}</td>" for x in ("".join(before[1:2]), main, "".join(after[:1])) if x]
+        rows = [*(f"<tr><td>{x}</td></tr>" for x in before[:1]), f"<tr>{''.join(cells)}</tr>", *(f"<tr><td>{x}</td></tr>" for x in [*before[2:], *after[1:]])]
+        page = f"<table>{''.join(rows)}</table>"
+    else:
+        page = "".join([*before, main, *after])
     if r.random() < 0.15:
         page = wrap(("div", attr("page", "wrapper", "site", "container")), page)
     return f"<!DOCTYPE html><html><head><title>{_words(r, 1, 6)}</title><script>x()</script></head><body>{page}" + pick("</body></html>", ""), None
@@ -491,7 +556,8 @@ def extractor(seed: int = 11) -> Extractor:
 
 
 def extract(df: DataFrame, page: str = "html", output: str = "text", seed: int = 11) -> DataFrame:
-    """Adds `output`: the main text of each row's whole page. Character references are decoded, white space within a block is
+    """Adds `output`: the main text of each row's whole page. A header element is left out wherever it stands, with a title in
+    it; a title outside of one belongs to the article. Character references are decoded, white space within a block is
     one space, blocks are joined by one line end in page order; an empty string for a null or empty page and where nothing is
     main text. Rows are independent; a column named `output` is replaced, others pass through."""
     spark = df.sparkSession
