@@ -33,7 +33,8 @@ def reassemble(manifest: DataFrame, chunks: DataFrame, key: str = "file_id") ->
         F.count_if(gone).alias("missing"),
         F.min_by("chunk_hash", F.when(gone, F.col("seq"))).alias("_first"),
     )
-    whole = F.aggregate("parts", F.lit(bytearray()), lambda acc, x: F.concat(acc, x["data"]))
+    # by way of hex digits, as they are joined in one step, in time linear in the object's bytes
+    whole = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["data"])), ""))
     return parts.select(key, F.when(F.col("missing") == 0, whole).alias("data"), "missing", F.when(F.col("missing") > 0, F.col("_first")).alias("first_missing"))
 
 

@@ -9,6 +9,9 @@ from ..config import DEV_SECRET, PRESIGN_TTL_SECONDS
 from .hashing import hmac_sha256_hex
 
 
+_NUMBER = r"\A[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\z"
+
+
 def payload(method: Column, path: Column, expires_ms: Column) -> Column:
     return F.concat_ws(":", method, path, expires_ms.cast("string"))
 
@@ -23,15 +26,19 @@ def presign(method: Column, path: Column, now_ms: Column, ttl_seconds: int = PRE
 
 def verify(method: Column, path: Column, expires: Column, signature: Column, now_ms: Column, secret: str = DEV_SECRET) -> Column:
     """'ok', or the first check that fails: missing, malformed, expired (a moment after the expiry, not at it), tampered. The
-    payload is rebuilt from the number that `expires` spells; hex digits of the signature count in either case."""
-    number = expires.try_cast("double")
-    whole = number.cast("bigint")
+    payload is rebuilt from the number that `expires` spells, in decimal digits, with an exponent or as Infinity, blanks around it
+    aside; only whole numbers are ever signed, so any other is tampered. No input raises. Hex digits of the signature count in
+    either case."""
+    spelled = F.trim(expires)
+    number = F.when(spelled.rlike(_NUMBER), spelled.try_cast("double"))
+    exact = (F.abs(number) <= F.lit(float(1 << 53))) & (number == F.floor(F.when(F.abs(number) <= F.lit(float(1 << 53)), number)))
+    whole = F.when(exact, number).try_cast("bigint")
     expected = hmac_sha256_hex(payload(method, path, whole), secret)
     missing = expires.isNull() | (expires == "") | signature.isNull() | (signature == "")
     return (
         F.when(missing, F.lit("missing"))
-        .when(number.isNull() | F.isnan(number), F.lit("malformed"))
+        .when(number.isNull(), F.lit("malformed"))
         .when(now_ms > number, F.lit("expired"))
-        .when(F.lower(signature) != expected, F.lit("tampered"))
+        .when(whole.isNull() | (F.lower(signature) != expected), F.lit("tampered"))
         .otherwise(F.lit("ok"))
     )
