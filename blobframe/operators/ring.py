@@ -34,7 +34,7 @@ def arcs(nodes: DataFrame, replicas: int, vnodes: int = VNODES) -> DataFrame:
     pass over the ring's points, whose number is set by the topology and not by the keys; the look-ahead doubles until every
     arc has its full list."""
     count = nodes.select("node_id").distinct().count()
-    want, look = min(replicas, count), 64
+    want, look = min(replicas, count), 16
     ring = points(nodes, vnodes)
     if want == 0:
         return ring.select(F.col("position").alias("lo"), F.col("position").alias("hi"), F.array("node_id").alias("nodes")).where("false")
@@ -48,21 +48,25 @@ def arcs(nodes: DataFrame, replicas: int, vnodes: int = VNODES) -> DataFrame:
         top = ring.agg(F.max("position").alias("last"))
         start = listed.where((F.col("position") < SPACE) & F.col("prev").isNull()).select("nodes")
         wrap = top.crossJoin(start).select((F.col("last") + 1).alias("lo"), F.lit(SPACE - 1).cast("bigint").alias("hi"), "nodes")
-        out = first.unionByName(wrap).where("lo <= hi")
+        out = first.unionByName(wrap).where("lo <= hi").persist()  # of the topology's size; the check fills it, the joins read it
         if look >= count * vnodes or out.agg(F.min(F.size("nodes"))).first()[0] == want:
             return out
+        out.unpersist()
         look *= 2
 
 
 def place(keys: DataFrame, ring_arcs: DataFrame, key: str = "chunk_hash", bits: int = 12) -> DataFrame:
     """keys with `nodes`, the preference list of each. The arc of a position is found by an equi-join on the position's upper
-    bits with the range as a residual, so it plans as a hash join and never as a nested loop."""
+    bits with the range as a residual, so it plans as a hash join and never as a nested loop. A column of keys named `nodes` is
+    replaced; others pass through whatever their names."""
     shift = 32 - bits
-    spread = ring_arcs.select("*", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))).alias("_b"))
+    own = {c: f"__ring__{c}" for c in ("lo", "hi", "nodes", "b", "p")}  # the join's own names
+    spread = ring_arcs.select(*[F.col(c).alias(own[c]) for c in ("lo", "hi", "nodes")], F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))).alias(own["b"]))
     if ring_arcs.count() <= BROADCAST_ARCS:
         spread = F.broadcast(spread)
-    at = keys.withColumn("_p", ring_position(F.col(key))).withColumn("_b", F.shiftright("_p", shift))
-    return at.join(spread, "_b").where("_p between lo and hi").drop("_b", "_p", "lo", "hi")
+    at = keys.drop("nodes").withColumn(own["p"], ring_position(F.col(key))).withColumn(own["b"], F.shiftright(own["p"], shift))
+    met = at.join(spread, own["b"]).where(F.col(own["p"]).between(F.col(own["lo"]), F.col(own["hi"])))
+    return met.drop(*(own[c] for c in ("lo", "hi", "b", "p"))).withColumnRenamed(own["nodes"], "nodes")
 
 
 def ranked(placed: DataFrame, key: str = "chunk_hash") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from blobframe.functions import hashing
 from blobframe.operators import replication, ring
 from blobframe.schemas import NODES
+from blobframe.sources import objects
 
 
 def nodes(spark, *ids):
@@ -128,3 +129,12 @@ def test_status_classes(spark):
     assert got == ["ok", "ok", "integrity_mismatch", "not_found", "corrupt", "http_503", "network_error", "network_error"]
     r = spark.range(1).select(replication.put_status(F.lit(False), F.lit(True)), replication.put_status(F.lit(True), F.lit(True)), replication.put_status(F.lit(True), F.lit(False)), replication.get_status(F.lit(False), F.lit(True)), replication.get_status(F.lit(True), F.lit(False)), replication.get_status(F.lit(True), F.lit(True))).first()
     assert r[:] == (422, 200, 201, 404, 409, 200)
+
+
+def test_clashing_columns_pass_through(spark):
+    nodes = objects.topology(spark)
+    names = ("lo", "hi", "nodes", "_b", "_p", "position", "prev")
+    keys = spark.createDataFrame([(f"k{i}", *["x"] * len(names)) for i in range(20)], "chunk_hash string, " + ", ".join(f"{n} string" for n in names))
+    plain = {r.chunk_hash: r.nodes for r in ring.place(keys.select("chunk_hash"), ring.arcs(nodes, 2)).collect()}
+    rows = ring.place(keys, ring.arcs(nodes, 2)).collect()
+    assert {r.chunk_hash: r.nodes for r in rows} == plain and all(r.lo == r.hi == r._b == "x" for r in rows) and len(rows) == 20
