@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges that a label's distinct values are dealt over for percentiles.
+RANGES = 64
+
+
 def histogram(rows: DataFrame, value: str, bounds: tuple[float, ...], *labels: str) -> DataFrame:
     """Long format: labels, le, and the cumulative count of values at most le, with +Inf; one pass, all bounds at once."""
     cells = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)] + [F.count(value).alias(f"b{len(bounds)}")]
@@ -37,13 +41,30 @@ def histogram_quantile(cells: DataFrame, q: float, *labels: str) -> DataFrame:
 
 def percentiles(rows: DataFrame, value: str, ps: tuple[int, ...], *labels: str) -> DataFrame:
     """labels, p and the value at index min(n - 1, floor(p / 100 * n)) of the sorted values. Counts of distinct values come
-    first, so the ordered pass is over those and not over all rows."""
+    first; these are dealt over ranges between approximate quantiles, the ranges' counts tell in which one an index lies, and only
+    that one is put in order. So no task holds more than a range of a label's values, however many there are."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*labels).orderBy(value)
-    run = per.select(*labels, value, F.sum("_c").over(w).alias("_upto"), F.sum("_c").over(W.partitionBy(*labels)).alias("_n"))
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 16 * RANGES)
+    bounds = per.groupBy(*labels).agg(cuts.alias("_cuts"))
+    dealt = _joined(per, bounds, labels).withColumn("_r", F.size(F.filter("_cuts", lambda b: b < F.col(value)))).drop("_cuts")
+    ranges = dealt.groupBy(*labels, "_r").agg(F.sum("_c").alias("_in"))
+    below = F.coalesce(F.sum("_in").over(W.partitionBy(*labels).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*labels, "_r", "_in", below.alias("_below"), F.sum("_in").over(W.partitionBy(*labels)).alias("_n"))
     wanted = F.explode(F.array(*[F.lit(p) for p in ps]))
-    at = run.select(*labels, value, "_upto", "_n", wanted.alias("p")).where(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("p") / F.lit(100.0) * F.col("_n"))))
-    return at.groupBy(*labels, "p").agg(F.min(value).alias("value"), F.max("_n").alias("n"))
+    index = F.least(F.col("_n") - 1, F.floor(F.col("p") / F.lit(100.0) * F.col("_n")))
+    hit = ranges.select("*", wanted.alias("p")).withColumn("_at", index).where((F.col("_below") <= F.col("_at")) & (F.col("_at") < F.col("_below") + F.col("_in")))
+    upto = F.sum("_c").over(W.partitionBy(*labels, "_r").orderBy(value))
+    run = _joined(dealt.withColumn("_upto", upto), hit.select(*labels, "_r", "_below", "_n", "p", "_at"), (*labels, "_r"))
+    return run.where(F.col("_below") + F.col("_upto") > F.col("_at")).groupBy(*labels, "p").agg(F.min(value).alias("value"), F.max("_n").alias("n"))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Inner join on keys, nulls equal; b has one row where there are no keys."""
+    named = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(named[f"__{k}"])
+    return a.join(named if keys else F.broadcast(named), on).drop(*[f"__{k}" for k in keys])
 
 
 def window_rate(rows: DataFrame, ts_ms: str, seconds: int, *labels: str, where: Column | None = None) -> DataFrame:

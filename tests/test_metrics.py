@@ -103,3 +103,21 @@ def test_streaming_dedup_rate_and_sweep(spark, tmp_path):
 
 def test_sources_are_typed(spark):
     assert dict(objects.topology(spark).dtypes) == {"node_id": "string", "url": "string", "add_order": "int"}
+
+
+def test_percentiles_of_many_values_and_null_labels(spark):
+    r = random.Random(6)
+    rows = [(g, round(r.expovariate(1), 3)) for g in ("a", "b", None) for _ in range(700)] + [("one", 5.0)] + [("same", 2.0)] * 50
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = (0, 1, 50, 90, 99, 100)
+
+    def want(values, p):
+        v = sorted(values)
+        return v[min(len(v) - 1, p * len(v) // 100)]
+
+    got = {(x.g, x.p): (x.value, x.n) for x in metrics.percentiles(df, "v", ps, "g").collect()}
+    by = {g: [v for h, v in rows if h == g] for g in {g for g, _ in rows}}
+    assert got == {(g, p): (want(v, p), len(v)) for g, v in by.items() for p in ps}
+    flat = {x.p: x.value for x in metrics.percentiles(df, "v", ps).collect()}
+    assert flat == {p: want([v for _, v in rows], p) for p in ps}
+    assert metrics.percentiles(df.where("false"), "v", ps).count() == 0 == metrics.percentiles(df.where("false"), "v", ps, "g").count()
