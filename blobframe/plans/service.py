@@ -57,12 +57,15 @@ def upload(t: Tables, objects: DataFrame, now_ms: int, config: StoreConfig = Sto
 
 
 def update(t: Tables, bodies: DataFrame, now_ms: int, config: StoreConfig = StoreConfig(), limit: int = COORDINATOR_BODY_LIMIT) -> tuple[Tables, DataFrame]:
-    """New versions of files from bodies (file_id, data), one per file. The previous version's rows go, its chunks stay for
-    collection. Replies: file_id, status (404 comes before 400 and 413), version_id, previous_version_id."""
+    """New versions of files from bodies (file_id, data). The previous version's rows go, its chunks stay for collection. Of
+    several bodies for one file, which a batch gives no order, each is answered and the one with the greatest version id stays.
+    Replies: file_id, status (404 comes before 400 and 413), version_id, previous_version_id."""
     split = body_split(bodies, limit).join(t.files.select("file_id", F.col("current_version_id").alias("previous_version_id"), F.lit(True).alias("_known")), "file_id", "left")
     split = split.withColumn("status", F.when(F.col("_known").isNull(), 404).when(F.col("status") == 201, 200).otherwise(F.col("status")))
     split = split.withColumn("version_id", _version_id(F.col("file_id"), F.col("data"), now_ms))
-    taken = split.where("status = 200")
+    taken = split.where("status = 200").dropDuplicates(["file_id", "version_id"])
+    last = taken.groupBy("file_id").agg(F.max("version_id").alias("version_id"))
+    taken = taken.join(last, ["file_id", "version_id"], "left_semi")
     after = _commit(taken.select("file_id", "version_id", "data"), t.files, t, now_ms, config, t.files)
     gone = taken.where("previous_version_id is not null and previous_version_id <> version_id").select(F.col("previous_version_id").alias("version_id")).distinct()
     after = Tables(after.files, after.versions.join(gone, "version_id", "left_anti"), after.manifest.join(gone, "version_id", "left_anti"), after.store)
@@ -72,8 +75,9 @@ def update(t: Tables, bodies: DataFrame, now_ms: int, config: StoreConfig = Stor
 
 def metadata(t: Tables, wanted: DataFrame) -> DataFrame:
     """Of wanted (file_id): status (200 or 404), the file's row and its versions in order of creation."""
-    rows = t.versions.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "version_id", "size"))).alias("versions"))
-    found = t.files.join(rows, "file_id", "left").withColumn("_known", F.lit(True))
+    ids = wanted.select("file_id").distinct()
+    rows = t.versions.join(ids, "file_id", "left_semi").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "version_id", "size"))).alias("versions"))
+    found = t.files.join(ids, "file_id", "left_semi").join(rows, "file_id", "left").withColumn("_known", F.lit(True))
     return wanted.select("file_id").join(found, "file_id", "left").select("file_id", F.when(F.col("_known"), 200).otherwise(404).alias("status"), "created_at", "current_version_id", "versions")
 
 

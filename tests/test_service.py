@@ -90,3 +90,14 @@ def test_published_dedup_measurement(spark, empty):
     cut = t.manifest.join(t.store.select("chunk_hash", F.octet_length("data").alias("chunk_size")), "chunk_hash")
     r = catalog.dedup_savings(cut).first()
     assert (r.total_bytes, r.unique_bytes, r.saved_bytes, r.saved_pct) == (10_747_904, 6_553_600, 4_194_304, 39.0)
+
+
+def test_two_bodies_for_one_file_leave_one_version(spark, empty):
+    t, replies = service.upload(empty, spark.createDataFrame([(1, bytearray(b"first"))], "request_id long, data binary"), 1000)
+    file_id = replies.first().file_id
+    bodies = spark.createDataFrame([(file_id, bytearray(b"one")), (file_id, bytearray(b"two")), (file_id, bytearray(b"two"))], "file_id string, data binary")
+    after, said = service.update(t, bodies, 2000)
+    assert [r.status for r in said.collect()] == [200, 200, 200]
+    rows = after.files.collect()
+    assert len(rows) == 1 and [r.version_id for r in after.versions.collect()] == [rows[0].current_version_id]
+    assert bytes(service.download(after, after.files).first().data) in (b"one", b"two")
