@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .replication import get_status
+
 
 def create_files(files: DataFrame, new: DataFrame) -> DataFrame:
     """Adds files (file_id, created_at) that have no version yet."""
@@ -90,8 +92,31 @@ def dangling_pointers(files: DataFrame, versions: DataFrame) -> DataFrame:
 
 def store_put(store: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks (chunk_hash, data) that a store does not hold yet, one row per hash, after their hash is checked."""
-    good = chunks.where(F.sha2("data", 256) == F.col("chunk_hash")).dropDuplicates(["chunk_hash"])
-    return good.join(store.select("chunk_hash"), "chunk_hash", "left_anti")
+    new = chunks.join(store.select("chunk_hash"), "chunk_hash", "left_anti")  # before any bytes are hashed or told apart
+    return new.where(F.sha2("data", 256) == F.col("chunk_hash")).dropDuplicates(["chunk_hash"])
+
+
+def store_get(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of wanted (chunk_hash): status (200, 404 where the store has no such chunk, 409 where its bytes have another hash) and data,
+    null unless the status is 200."""
+    held = store.select("chunk_hash", "data", F.lit(True).alias("_held"))
+    got = wanted.select("chunk_hash").distinct().join(held, "chunk_hash", "left")
+    status = get_status(F.coalesce("_held", F.lit(False)), F.coalesce(F.sha2("data", 256) == F.col("chunk_hash"), F.lit(False)))
+    return got.select("chunk_hash", status.alias("status"), F.when(status == 200, F.col("data")).alias("data"))
+
+
+def store_delete(store: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store without the chunks of gone (chunk_hash), and for each of these whether it was there. Unknown ones do nothing."""
+    ids = gone.select("chunk_hash").distinct()
+    held = store.select("chunk_hash", F.lit(True).alias("_held")).distinct()
+    replies = ids.join(held, "chunk_hash", "left").select("chunk_hash", F.coalesce("_held", F.lit(False)).alias("deleted"))
+    return store.join(ids, "chunk_hash", "left_anti"), replies
+
+
+def unreferenced(held: DataFrame, live: DataFrame) -> DataFrame:
+    """Chunks and bytes of held (chunk_hash, chunk_size) that no row of live refers to."""
+    idle = held.dropDuplicates(["chunk_hash"]).join(live.select("chunk_hash"), "chunk_hash", "left_anti")
+    return idle.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def dedup_savings(chunks: DataFrame, *by: str) -> DataFrame:
@@ -101,3 +126,8 @@ def dedup_savings(chunks: DataFrame, *by: str) -> DataFrame:
     out = per.groupBy(*by).agg(*sums) if by else per.agg(*sums)
     out = out.withColumn("saved_bytes", F.col("total_bytes") - F.col("unique_bytes"))
     return out.withColumn("saved_pct", F.round(F.col("saved_bytes") * 100.0 / F.col("total_bytes"), 1))
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """A share as text with one decimal place and the sign."""
+    return F.format_string("%.1f%%", part * F.lit(100.0) / whole)

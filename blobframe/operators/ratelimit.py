@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Limiter
@@ -24,6 +24,18 @@ def admit(tokens: float, last_ms: int | None, ts_ms: int, limit: Limiter) -> tup
     return False, tokens, last_ms
 
 
+def client_key(header: Column, address: Column) -> Column:
+    """Who a request counts for: the client that it names, or else its address."""
+    return F.coalesce(F.when(header != "", header), address)
+
+
+def admission(requests: DataFrame, limit: Limiter) -> DataFrame:
+    """requests (client, ts_ms, request_id, status and others) after the hook that stands before every route: what a bucket refuses
+    is answered with 429 and goes no farther."""
+    said = verdicts(requests, limit).select(F.col("request_id"), "allowed")
+    return requests.join(said, "request_id").withColumn("status", F.when(F.col("allowed"), F.col("status")).otherwise(429)).drop("allowed")
+
+
 def verdicts(requests: DataFrame, limit: Limiter) -> DataFrame:
     """requests (client, ts_ms, request_id) with `allowed`. A refusal depends on all that came before, so a client's requests
     are folded in order; partitions are sorted and streamed, so that memory does not grow with a client's requests."""

@@ -55,8 +55,13 @@ def read_results(attempts: DataFrame) -> DataFrame:
     return out.select("chunk_hash", F.when(served, "ok").when(F.col("_last") == NOT_FOUND, "missing").otherwise("unavailable").alias("result"), F.when(served, F.col("_node")).alias("served_by"), "served_rank")
 
 
-def failovers(attempts: DataFrame) -> DataFrame:
-    """Per reason, the failovers that ordered reads count: only attempts up to the first success; a first replica that has not
+def with_urls(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds the url of each row's node; the topology is small by its nature, and the optimizer broadcasts it where it is."""
+    return ranked.join(nodes.select("node_id", "url").dropDuplicates(["node_id"]), "node_id", "left")
+
+
+def failovers(attempts: DataFrame, *by: str) -> DataFrame:
+    """Per reason (and by, columns that are alike in all attempts of a chunk), the failovers that ordered reads count: only attempts up to the first success; a first replica that has not
     found the chunk is silent; a success after the first replica counts once. Integrity failures are mismatches seen here."""
     first = attempts.groupBy("chunk_hash").agg(F.min(F.when(F.col("outcome") == OK, F.col("rank"))).alias("_first"))
     seen = attempts.join(first, "chunk_hash").where(F.col("_first").isNull() | (F.col("rank") <= F.col("_first")))
@@ -66,7 +71,7 @@ def failovers(attempts: DataFrame) -> DataFrame:
         .when((F.col("outcome") == NOT_FOUND) & (F.col("rank") == 0), None)
         .otherwise(F.col("outcome"))
     )
-    return seen.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("failovers"), F.count_if(F.col("reason") == MISMATCH).alias("integrity_failures"))
+    return seen.select(reason.alias("reason"), *by).where("reason is not null").groupBy("reason", *by).agg(F.count("*").alias("failovers"), F.count_if(F.col("reason") == MISMATCH).alias("integrity_failures"))
 
 
 def put_status(hash_ok: Column, exists: Column) -> Column:

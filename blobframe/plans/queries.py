@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from ..config import CHUNK_SIZE, DEV_SECRET, HTTP_BUCKETS, PRESIGN_TTL_SECONDS, REPLICA_BUCKETS, Limiter
+from .. import schemas
+from ..config import CHUNK_SIZE, DEV_SECRET, HTTP_BUCKETS, PRESIGN_TTL_SECONDS, REPLICA_BUCKETS, Limiter, StoreConfig
 from ..functions import chunking, hashing, presign
 from ..operators import catalog, gc, metrics, ratelimit, replication, ring
 from ..sources import objects
@@ -559,3 +559,233 @@ def store_put_new(spark, sf_dir):
     return catalog.store_put(cut.where("file_id % 2 = 0").select("chunk_hash").distinct(), cut).select("chunk_hash")
 
 
+EMPTY_TABLES = {"files": schemas.FILES, "versions": schemas.VERSIONS, "manifest": schemas.MANIFEST, "store": "chunk_hash string, data binary"}
+
+
+def uploaded(spark, sf_dir, where: str = "true", limit: int = 2000) -> tuple[service.Tables, DataFrame]:
+    """(tables, replies) after the upload of documents into an empty store; bodies over `limit` bytes are refused."""
+    empty = service.Tables(**{k: spark.createDataFrame([], s) for k, s in EMPTY_TABLES.items()})
+    bodies = table(spark, sf_dir, "documents").where(where).select(F.col("doc_id").alias("request_id"), F.encode("text", "UTF-8").alias("data"))
+    return service.upload(empty, bodies, NOW_MS, StoreConfig(chunk_size=SMALL), limit)
+
+
+FILE_ID = f"'file_' || substr(sha256(doc_id || '/{NOW_MS}'), 1, 24)"
+
+
+def upload_sql(where: str = "true", limit: int = 2000, body: str = "text", now: int = NOW_MS) -> str:
+    """up(request_id, d, status, file_id, version_id, size) of the uploaded documents."""
+    return f"""raw as (select doc_id as request_id, encode({body}) as d, {FILE_ID} as file_id from documents where {where}),
+up as (select *, case when d is null then 400 when octet_length(d) > {limit} then 413 else 201 end as status,
+'ver_' || substr(sha256(file_id || '/{now}/' || sha256(d)), 1, 24) as version_id, octet_length(d)::bigint as size from raw)"""
+
+
+@query(f"with {upload_sql()} select request_id, status, case when status = 201 then file_id end as file_id, case when status = 201 then version_id end as version_id, case when status = 201 then (size + {SMALL} - 1) // {SMALL} end as chunk_count, case when status = 201 then size end as size from up")
+def upload_replies(spark, sf_dir):
+    return uploaded(spark, sf_dir)[1]
+
+
+@query(f"with {upload_sql()} select file_id, {NOW_MS}::bigint as created_at, version_id as current_version_id from up where status = 201")
+def upload_files(spark, sf_dir):
+    return uploaded(spark, sf_dir)[0].files
+
+
+@query(f"with {upload_sql()} select version_id, file_id, size, {NOW_MS}::bigint as created_at from up where status = 201")
+def upload_versions(spark, sf_dir):
+    return uploaded(spark, sf_dir)[0].versions
+
+
+@query(f"with {upload_sql()}, c as (select version_id, d, unnest(range(0, (size + {SMALL} - 1) // {SMALL}))::int as seq from up where status = 201) select version_id, seq, sha256(d[seq::bigint * {SMALL} + 1 : seq::bigint * {SMALL} + {SMALL}]) as chunk_hash from c")
+def upload_manifest(spark, sf_dir):
+    return uploaded(spark, sf_dir)[0].manifest
+
+
+@query(f"with {upload_sql()}, c as (select d, unnest(range(0, (size + {SMALL} - 1) // {SMALL})) as seq from up where status = 201), b as (select d[seq * {SMALL} + 1 : seq * {SMALL} + {SMALL}] as x from c) select distinct sha256(x) as chunk_hash, octet_length(x)::int as size from b")
+def upload_store(spark, sf_dir):
+    return uploaded(spark, sf_dir)[0].store.select("chunk_hash", F.octet_length("data").alias("size"))
+
+
+LATER_MS = NOW_MS + 1000
+
+
+def updated(spark, sf_dir) -> tuple[service.Tables, DataFrame]:
+    """(tables, replies) after an update of all documents' files, of which only those with even ids were uploaded."""
+    t, _ = uploaded(spark, sf_dir, "doc_id % 2 = 0 and text is not null", 1 << 30)
+    file_id = hashing.deterministic_id("file", F.col("doc_id").cast("string"), F.lit(str(NOW_MS)))
+    body = F.when(F.col("doc_id") % 5 != 0, F.encode(F.concat("text", F.lit("!")), "UTF-8"))
+    bodies = table(spark, sf_dir, "documents").where("text is not null").select(file_id.alias("file_id"), body.alias("data"))
+    return service.update(t, bodies, LATER_MS, StoreConfig(chunk_size=SMALL), 4000)
+
+
+UPDATED = f"""old as (select doc_id, {FILE_ID} as file_id, sha256(encode(text)) as h, case when doc_id % 5 <> 0 then encode(text || '!') end as d from documents where text is not null),
+new as (select doc_id, file_id, d, case when doc_id % 2 <> 0 then 404 when d is null then 400 when octet_length(d) > 4000 then 413 else 200 end as status,
+'ver_' || substr(sha256(file_id || '/{LATER_MS}/' || sha256(d)), 1, 24) as version_id, 'ver_' || substr(sha256(file_id || '/{NOW_MS}/' || h), 1, 24) as previous_version_id from old)"""
+
+
+@query(f"with {UPDATED} select file_id, status, case when status = 200 then version_id end as version_id, case when status = 200 then previous_version_id end as previous_version_id from new")
+def update_replies(spark, sf_dir):
+    return updated(spark, sf_dir)[1]
+
+
+@query(f"with {UPDATED} select case when status = 200 then version_id else previous_version_id end as version_id, file_id, case when status = 200 then {LATER_MS} else {NOW_MS} end::bigint as created_at from new where doc_id % 2 = 0")
+def update_versions(spark, sf_dir):
+    return updated(spark, sf_dir)[0].versions.select("version_id", "file_id", "created_at")
+
+
+@query(f"""with g as (select doc_id as request_id, {FILE_ID} as file_id, doc_id % 8 as k, text from documents where text is not null)
+select request_id, file_id, case k when 1 then 'expired' when 2 then 'missing' when 3 then 'malformed' when 4 then 'tampered' when 6 then 'tampered' when 7 then 'tampered' else 'ok' end as verdict,
+case when k in (1, 2, 3, 4, 6, 7) then 403 else 200 end as status, case when k in (0, 5) then sha256(encode(text)) end as digest from g""")
+def presigned_fetch(spark, sf_dir):
+    t, replies = uploaded(spark, sf_dir, "text is not null", 1 << 30)
+    made = replies.select("request_id", "file_id", presign.presign(F.lit("GET"), F.concat(F.lit("/files/"), "file_id", F.lit("/download-presigned")), F.lit(NOW_MS)).alias("s"))
+    k, at = F.col("request_id") % 8, F.col("s.expires_at").cast("string")
+    # nothing at 2, a word at 3, numbers that no signature can be for at 6 and 7
+    expires = F.when(k == 2, "").when(k == 3, "soon").when(k == 6, "1e30").when(k == 7, F.concat(at, F.lit(".5"))).otherwise(at)
+    sig = F.when(k == 4, F.reverse("s.signature")).otherwise(F.col("s.signature"))
+    asked = made.select("request_id", "file_id", expires.alias("expires"), sig.alias("sig"), (F.lit(NOW_MS) + F.when(k == 1, 400_000).otherwise(0)).alias("now_ms"))
+    got = service.presigned_download(t, asked)
+    return got.select("request_id", "file_id", "verdict", "status", F.sha2("data", 256).alias("digest"))
+
+
+HOSTILE = {
+    "1e30": "tampered", "Infinity": "tampered", "-Infinity": "expired", "-1e400": "expired", "1e400": "tampered", "NaN": "malformed", "nan": "malformed", "inf": "malformed", "1d": "malformed", "1,000": "malformed", "0x10": "malformed",
+    "9007199254740993": "tampered", "99999999999999999999": "tampered", "-5": "expired", "0": "expired", "abc": "malformed", "1e": "malformed", ".": "malformed", "1e309": "tampered", "": "missing",
+}
+
+
+@query("with t(expires, verdict) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in HOSTILE.items()) + ") select n_nationkey, expires, verdict from nation, t")
+def presign_hostile(spark, sf_dir):
+    expires = F.explode(F.array(*[F.lit(k) for k in HOSTILE])).alias("expires")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", expires)
+    return rows.select("n_nationkey", "expires", presign.verify(F.lit("GET"), F.lit("/x"), F.col("expires"), F.lit("ab" * 32), F.lit(NOW_MS)).alias("verdict"))
+
+
+@query(f"with {C256}, held as (select distinct chunk_hash from chunks where substr(file_id, 6)::bigint % 2 = 0) select distinct chunk_hash, chunk_hash in (select chunk_hash from held) as deleted from chunks where substr(file_id, 6)::bigint % 3 = 0")
+def chunk_delete(spark, sf_dir):
+    m = doc_chunks(spark, sf_dir).withColumn("k", F.substring("file_id", 6, 30).cast("long"))
+    return catalog.store_delete(m.where("k % 2 = 0").select("chunk_hash").distinct(), m.where("k % 3 = 0"))[1]
+
+
+@query(f"with {C256}, h as (select chunk_hash, bool_or(substr(file_id, 6)::bigint % 2 = 0) as held from chunks group by 1) select chunk_hash, case when not held then 404 when {LOST} then 409 else 200 end as status from h")
+def chunk_get(spark, sf_dir):
+    cut = chunking.chunk(docs(spark, sf_dir), SMALL, keep_data=True).withColumn("k", F.substring("file_id", 6, 30).cast("long"))
+    damaged = F.when(hashing.hash_byte(F.col("chunk_hash"), 0) < 16, F.encode(F.lit("damaged"), "UTF-8")).otherwise(F.col("data"))
+    store = cut.where("k % 2 = 0").dropDuplicates(["chunk_hash"]).select("chunk_hash", damaged.alias("data"))
+    return catalog.store_get(store, cut).select("chunk_hash", "status")
+
+
+@query("with o as (select i, list_transform(range(0, 4), lambda j: sha256('7/' || i || '/' || j)) as runs from range(0, 20) t(i)) select 'file_' || i as file_id, sha256(unhex(substr(list_aggregate(runs, 'string_agg', ''), 1, 200))) as digest, 100 as size from o")
+def seeded_bytes(spark, sf_dir):
+    return objects.seeded_objects(spark, 20, 100, 7).select("file_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").alias("size"))
+
+
+@query(f"with {VERS}, c as (select version_id, d, unnest(range(0, ((octet_length(d) + 63) // 64)::bigint)) as seq from vers) select version_id, string_agg(sha256(d[seq * 64 + 1 : seq * 64 + 64]), ',' order by seq) as hashes, count(*)::int as chunk_count from c group by 1")
+def ordered_hashes(spark, sf_dir):
+    m = chunking.chunk(conversation_versions(spark, sf_dir), 64, key="version_id")
+    return catalog.version_hashes(m).select("version_id", F.array_join("hashes", ",").alias("hashes"), "chunk_count")
+
+
+@query(f"with {C256}, n as (select chunk_hash, count(*) as n from chunks where substr(file_id, 6)::bigint % 2 = 1 group by 1) select distinct chunk_hash, coalesce(n, 0) as refcount from chunks left join n using (chunk_hash) where substr(file_id, 6)::bigint % 2 = 0")
+def refcount_lookup(spark, sf_dir):
+    m = doc_chunks(spark, sf_dir).withColumn("k", F.substring("file_id", 6, 30).cast("long"))
+    return catalog.refcount_of(m.where("k % 2 = 0").select("chunk_hash").distinct(), catalog.refcounts(m.where("k % 2 = 1")))
+
+
+def after_delete(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, versions, manifest, counts) after the versions of every third turn are deleted, the last ones of files among them."""
+    v = conversation_versions(spark, sf_dir)
+    m = chunking.chunk(v, 64, key="version_id").select("version_id", "seq", "chunk_hash")
+    gone = v.where(((F.col("created_at") - NOW_MS) / 1000).cast("long") % 3 == 0)
+    return catalog.current_versions(v, F.col("created_at")), *catalog.delete_versions(v.drop("data"), m, catalog.refcounts(m), gone)
+
+
+@query(f"with {VERS} select version_id, file_id, size, created_at from vers where ((created_at - {NOW_MS}) // 1000) % 3 <> 0")
+def delete_versions_left(spark, sf_dir):
+    return after_delete(spark, sf_dir)[1]
+
+
+@query(f"with {CONV}, keep as (select chunk_hash, count(*) filter (where ((created_at - {NOW_MS}) // 1000) % 3 <> 0) as refcount from man group by 1) select chunk_hash, refcount from keep")
+def delete_versions_refcounts(spark, sf_dir):
+    return after_delete(spark, sf_dir)[3]
+
+
+@query(f"with {VERS}, c as (select file_id, arg_max(version_id, created_at) as current_version_id, max(created_at) as tm from vers group by 1) select file_id, current_version_id from c where ((tm - {NOW_MS}) // 1000) % 3 = 0")
+def dangling_pointer_audit(spark, sf_dir):
+    files, versions, *_ = after_delete(spark, sf_dir)
+    return catalog.dangling_pointers(files, versions)
+
+
+@query(f"with {VERS}, cut as (select version_id, file_id, d, unnest(range(0, ((octet_length(d) + 63) // 64)::bigint)) as seq from vers), man as (select version_id, sha256(d[seq * 64 + 1 : seq * 64 + 64]) as chunk_hash, octet_length(d[seq * 64 + 1 : seq * 64 + 64]) as z from cut), cur as (select file_id, arg_max(version_id, created_at) as version_id from vers group by 1), idle as (select chunk_hash, max(z) as z from man where chunk_hash not in (select chunk_hash from man where version_id in (select version_id from cur)) group by 1) select count(*) as chunks, coalesce(sum(z), 0)::bigint as bytes from idle")
+def unreferenced_bytes(spark, sf_dir):
+    v = conversation_versions(spark, sf_dir)
+    m = chunking.chunk(v, 64, key="version_id")
+    return catalog.unreferenced(m, catalog.live_manifest(m, catalog.current_versions(v, F.col("created_at"))))
+
+
+@query(f"with {C256}, {FIVE}, {POINTS}, {placement_sql('select distinct chunk_hash from chunks')} select chunk_hash, rank, 'http://' || node_id as url from placed")
+def replica_urls(spark, sf_dir):
+    return replication.with_urls(ring.ranked(placed_chunks(spark, sf_dir)), five_nodes(spark)).select("chunk_hash", "rank", "url")
+
+
+@query(f"with {C256}, s as (select chunk_hash, max(chunk_size) as z from chunks group by 1) select count(*) * {REPLICAS} as chunk_count, (sum(z) * {REPLICAS})::bigint as total_bytes from s")
+def cluster_total(spark, sf_dir):
+    return node_load(spark, sf_dir).agg(F.sum("chunk_count").alias("chunk_count"), F.sum("total_bytes").alias("total_bytes"))
+
+
+@query("select doc_id, 'file_' || substr(sha256(doc_id || '/' || source), 1, 24) as id from documents where source is not null")
+def deterministic_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    return d.select("doc_id", hashing.deterministic_id("file", F.col("doc_id").cast("string"), F.col("source")).alias("id"))
+
+
+@query(f"with {C256}, per as (select source, chunk_hash, count(*) as n, max(chunk_size) as s from chunks join documents on file_id = 'file_' || doc_id group by 1, 2) select source, printf('%.1f%%', (sum(s * n) - sum(s)) * 100.0 / sum(s * n)) as saved from per group by 1")
+def dedup_percent(spark, sf_dir):
+    return dedup_by_source(spark, sf_dir).select("source", catalog.percent_text(F.col("saved_bytes"), F.col("total_bytes")).alias("saved"))
+
+
+@query("select case when event_id % 3 = 0 then 'user-' || user_id else '10.0.0.' || (event_id % 7) end as client, count(*) as requests from events group by 1")
+def client_keys(spark, sf_dir):
+    k = F.col("event_id") % 3
+    header = F.when(k == 0, F.concat(F.lit("user-"), "user_id")).when(k == 1, "")
+    address = F.concat(F.lit("10.0.0."), F.col("event_id") % 7)
+    return table(spark, sf_dir, "events").select(ratelimit.client_key(header, address).alias("client")).groupBy("client").agg(F.count("*").alias("requests"))
+
+
+@query(f"{BUCKET} select log.route, case when s.allowed then log.status else 429 end as status, count(*) as requests from s join log using (request_id) group by 1, 2")
+def admission_hook(spark, sf_dir):
+    return ratelimit.admission(requests(spark, sf_dir), LIMIT).groupBy("route", "status").agg(F.count("*").alias("requests"))
+
+
+#: A chunk's simulated time: windows of five minutes over three hours.
+CHUNK_MS = f"({NOW_MS} + ('0x' || substr(sha1(chunk_hash), 9, 2))::int * 42000)::bigint"
+STEP = "(tm // 300000 * 300)::bigint as window_start, count(*) as events, count(*) / 300.0::double as rate"
+
+
+def timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("at", (F.lit(NOW_MS) + hashing.hash_byte(F.col("chunk_hash"), 4) * 42_000).cast("bigint"))
+
+
+@query(f"with {ATT}, {QUO}, q as (select {CHUNK_MS} as tm from quo where acks < {QUORUM}) select {STEP} from q group by 1")
+def quorum_failure_rate_5m(spark, sf_dir):
+    q = timed(replication.quorum(attempts(spark, sf_dir), QUORUM))
+    return metrics.window_rate(q, "at", 300, where=~F.col("quorum_met"))
+
+
+SEEN = """f as (select chunk_hash, min(rank) filter (where outcome = 'ok') as r from att group by 1),
+seen as (select {at} as tm, case when outcome = 'ok' and rank > 0 then 'failover_success' when outcome = 'ok' then null when outcome = 'not_found' and rank = 0 then null else outcome end as reason from att join f using (chunk_hash) where r is null or rank <= r)""".replace("{at}", CHUNK_MS)
+
+
+def timed_failovers(spark, sf_dir) -> DataFrame:
+    start = (F.floor(F.col("at") / 300_000) * 300).alias("window_start")
+    a = timed(attempts(spark, sf_dir))
+    return replication.failovers(a.select("chunk_hash", "rank", "node_id", "outcome", start), "window_start")
+
+
+@query(f"with {ATT}, {SEEN} select reason, {STEP} from seen where reason is not null group by 1, 2")
+def failover_rate_5m(spark, sf_dir):
+    return timed_failovers(spark, sf_dir).select("reason", "window_start", F.col("failovers").alias("events"), (F.col("failovers") / F.lit(300.0)).alias("rate"))
+
+
+@query(f"with {ATT}, {SEEN} select {STEP} from seen where reason = 'integrity_mismatch' group by 1")
+def integrity_failure_rate_5m(spark, sf_dir):
+    f = timed_failovers(spark, sf_dir).where("integrity_failures > 0")
+    return f.select("window_start", F.col("integrity_failures").alias("events"), (F.col("integrity_failures") / F.lit(300.0)).alias("rate"))
