@@ -17,6 +17,7 @@ File format. `<path>/blocks` is a Parquet table, one row per block of a shard:
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,6 +43,19 @@ MEMO = 180_000
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _MARK_RUN = re.compile(r"[,.](?<=[^\w ].|_.) ")
+# Fixed value: how the tokenizer file that the short way below is made for normalises and splits text.
+_KNOWN = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _BLOCK = "shard int, block int, base long, n_nulls int, n_docs int, n_tokens long, width int, lo long, hi long, payload binary, offsets binary, keys binary, seeds binary, prints binary, firsts binary"
 
 
@@ -56,8 +70,9 @@ def _plain(text: str) -> str:
 
 
 class ChunkEncoder:
-    """Ids of texts as raw bytes. Texts are cut at blanks and line ends, where the tokenizer's own splitting cuts as well (it
-    drops all white space and never reads across it); a chunk is encoded once and remembered."""
+    """Ids of texts as raw bytes. Where the tokenizer file normalises and splits text in the known way, texts are cut at blanks and
+    line ends, where its own splitting cuts as well (it drops all white space and never reads across it), and a chunk is encoded
+    once and remembered. With any other file, and where special tokens' strings are special, the library encodes whole texts."""
 
     def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,6 +83,8 @@ class ChunkEncoder:
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.dtype, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.model = self.tok.model
+        file = json.loads(self.tok.to_str())
+        self.known = special_as_text and all(file.get(k) == v for k, v in _KNOWN.items()) and not file["model"].get("dropout") and all(t["special"] for t in file["added_tokens"])
         self.old: dict[str, bytes] = {}
         self.memo = Memo(self.learn)
 
@@ -92,6 +109,8 @@ class ChunkEncoder:
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.known:
+            return [array(self.code, self.tok.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t in texts]
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, Memo(self.learn)
         get = self.memo.__getitem__
