@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import OWN, cut, ship
+from .common import OWN, cut, remove, ship
 
-#: Bound of the scorer's training sample, in texts, and of a text in it, in characters.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+#: Bound of the scorer's training sample, in texts. Only their features, at most WIDTH numbers each, leave the executors.
+SAMPLE = 4000
 BITS = 13
 _MASK = (1 << BITS) - 1
 
@@ -130,10 +130,9 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 WIDTH = (1 << BITS) + 16 * 12
 
 
-def train_scorer(texts: list[str | None], targets: list[float], epochs: int = 8, rate: float = 0.3, seed: int = 5) -> np.ndarray:
-    """Weights and a bias of logistic regression on soft labels, by Adagrad."""
+def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], targets: list[float], epochs: int = 8, rate: float = 0.3, seed: int = 5) -> np.ndarray:
+    """Weights and a bias of logistic regression on soft labels, by Adagrad. rows: features as hashed() gives them."""
     w, g2 = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-2)
-    rows = [hashed(t) for t in texts]
     rnd = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rnd.permutation(len(rows)):
@@ -173,25 +172,40 @@ class Model:
         self.share, self.accuracy, self.posterior, self.weights = share, accuracy, posterior, weights
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """The labellers vote on every text of df; only the counts of vote patterns, at most three to the power of the number of
-    labellers whatever the table's size, come to the driver for the estimation. The scorer is fitted on at most `sample` texts
-    of at most `chars` characters, half of them from each side of the posterior, first in the order of a hash of the text."""
+    labellers whatever the table's size, come to the driver for the estimation. The scorer is fitted on the features of at most
+    `sample` whole texts, half of them from each side of the posterior, first in the order of a hash of the text."""
+    spark = df.sparkSession
     texts = df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     voted = _mapped(texts, "t", "v", T.StringType(), lambda t: ",".join(map(str, votes(statistics(t)))), pa.string())
-    voted, _ = cut(voted.select("h", "v", F.coalesce(F.length("t"), F.lit(0)).alias("n")), "votes")
+    voted, path = cut(voted.select("h", "v"), "votes")
     counts = voted.groupBy("v").agg(F.count("*").alias("c")).collect()
     patterns = sorted((tuple(map(int, r.v.split(","))), r.c) for r in counts)
     share, acc, post = weak_label_model(patterns)
     side = {",".join(map(str, p)): x for p, x in post.items()}
     picked: dict[int, float] = {}  # hashes of the sample's texts, bounded by its size
-    for group in ([p for p, x in side.items() if x >= 0.5], [p for p, x in side.items() if x < 0.5]):
-        if group:
-            best = voted.where(F.col("v").isin(group) & (F.col("n") <= chars)).select("h", "v").distinct().orderBy("h", "v").limit(sample // 2)
-            picked |= {r.h: side[r.v] for r in best.collect()}
-    wanted = df.sparkSession.createDataFrame([(h,) for h in picked], "h long")
-    rows = texts.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
-    return Model(share, acc, post, train_scorer([r.t for r in rows], [picked[r.h] for r in rows]))
+    for good in (True, False):
+        group = spark.createDataFrame([(p,) for p, x in side.items() if (x >= 0.5) == good], "v string")
+        best = voted.join(F.broadcast(group), "v").select("h", "v").distinct().orderBy("h", "v").limit(sample // 2)
+        picked |= {r.h: side[r.v] for r in best.collect()}
+    remove(spark, path)
+    wanted = spark.createDataFrame([(h,) for h in picked], "h long")
+    rows = texts.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("t").alias("t"))
+    rows = rows.mapInArrow(_features, "h long, k array<int>, x array<double>").orderBy("h").collect()
+    return Model(share, acc, post, train_scorer([(np.array(r.k, dtype=np.int64), np.array(r.x)) for r in rows], [picked[r.h] for r in rows]))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, k, x): the features of each text, those of one number added up."""
+    for whole in batches:
+        for b in _slices(whole, "t"):
+            ks, xs = [], []
+            for t in b.column("t").to_pylist():
+                k, which = np.unique((made := hashed(t))[0], return_inverse=True)
+                ks.append(k.astype(np.int32))
+                xs.append(np.bincount(which, made[1], minlength=len(k)))
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(ks, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], names=["h", "k", "x"])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "quality") -> DataFrame:
