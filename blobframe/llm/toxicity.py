@@ -21,8 +21,8 @@ from .common import OWN, ship
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
-#: Bound of the training sample: documents of each class, and characters of a document in it.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 8000
+#: Bound of the training sample: documents of each class.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 _WORDS, _GRAMS, _GRAM_ROWS = 8, 8, 1 << 14
 _HIDDEN, _ATTEND, _VOCABULARY = 8, 8, 20_000
 
@@ -291,13 +291,12 @@ def in_training(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5, F.lit(0)) != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> Network:
-    """Fits the network on labelled rows outside the held-out fifth: at most `toxic` and `clean` documents of each class of at
-    most `chars` characters, the first in the order of a hash of their key. That bound is the only part of the corpus that
-    comes to the driver. Null labels and keys are left out; a key labelled twice counts as toxic if any row says so."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Network:
+    """Fits the network on labelled rows outside the held-out fifth: at most `toxic` and `clean` whole documents of each class, the
+    first in the order of a hash of their key. That sample is the only part of the corpus that comes to the driver. Null labels and keys are left out; a key labelled twice counts as toxic if any row says so."""
     marks = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(in_training("k") & F.col("y").isNotNull())
     marks = marks.groupBy("k").agg(F.max("y").cast("int").alias("y"))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= chars)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sized = rows.join(marks, "k").select("k", "y", F.xxhash64("k").alias("h"))
     # keys of the sample, bounded by its parameters
     picked = [sized.where(F.col("y") == v).select("k", "y", "h").distinct().orderBy("h", "k").limit(n).select("k", "y") for v, n in ((1, toxic), (0, clean))]
