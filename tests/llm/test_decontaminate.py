@@ -59,3 +59,12 @@ def test_clashing_columns(spark):
     net = toxicity.train(["you idiot"] * 4 + ["fine words"] * 6, [1] * 4 + [0] * 6)
     for out in (secrets.redact_secrets(d), toxicity.drop_toxic(d, net), simhash.drop_near_duplicates(d)):
         assert out.columns == d.columns and out.count() >= 3
+
+
+def test_masks_miss_no_accepted_substitutions():
+    import itertools
+    import math
+
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        for out in itertools.combinations(range(n), n - math.ceil(n * decontaminate.SHARE)):
+            assert any(not any(s + o in out for o in m) for m in decontaminate.MASKS for s in range(n - decontaminate.SPAN + 1)), (n, out)

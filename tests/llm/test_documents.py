@@ -118,6 +118,22 @@ def test_simhash_links_brute_force(spark, monkeypatch):
     assert groups(got) == groups(want)
 
 
+def test_postings_hold_every_set_of_shared_positions():
+    from itertools import combinations
+
+    for least in (8, 7, 6, 5, 4, 3):
+        sets = simhash.postings(least)
+        assert all(any(set(p) <= set(x) for p in sets) for x in combinations(range(8), least))
+    assert len(simhash.postings(4)) == 20
+    first = simhash._first_posting(simhash.postings(4))
+    assert first[0b00010111] >= 0 and first[0b00000011] == -1
+    import numpy as np
+
+    # a pair is linked in one posting only
+    x = np.array([0b1011, 1 << 63 | 1 << 40 | 3, 0xFF], dtype=np.uint64)
+    assert [sum(k in simhash._linked(x, p, 4, first).tolist() for p in range(20)) for k in range(3)] == [1, 1, 0]
+
+
 def test_simhash_odd_rows(spark):
     df = odd(spark).unionByName(spark.createDataFrame([(None, "", "x"), (None, "only null key has this text here", "x"), (None, "only null key has this text here", "x")], DOCS))
     rows = simhash.near_duplicates(df).collect()
@@ -169,6 +185,19 @@ def test_chunk_encoder_equals_library():
         assert np.frombuffer(got, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("special_as_text", [True, False])
+def test_other_files_and_special_tokens_equal_library(name, special_as_text):
+    from tokenizers import Tokenizer
+    import numpy as np
+
+    t, e = Tokenizer.from_file(P.path(name)), tokens.ChunkEncoder(P.path(name), special_as_text)
+    t.encode_special_tokens = special_as_text
+    assert e.known == (special_as_text and name.startswith("word"))
+    for text in ["Two words,  and\n\n more. ", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>", " It's 12 naïve É", "", "x" * 500]:
+        assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_odd(spark, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_DOCS", 3)
     path = common.new_path(spark, "t")
@@ -250,3 +279,17 @@ def test_long_names_and_concatenations():
     assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == ["Zx9kQ2mL", *parts]
     text = "k0 = 'Zx9kQ2mL'\n" + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(200)) + "db_pwd = k200 + 'pW7rT4vB'"
     assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == ["Zx9kQ2mL", "pW7rT4vB"]
+
+
+def test_literals_within_spans_are_left_out_in_linear_time():
+    import time
+
+    rnd = random.Random(9)
+    lines = [f"my_secret_{i} = '{''.join(rnd.choice('abcdefGHIJKL0123456789') for _ in range(20))}'" if i % 2 else f"password=abcdef{i}" for i in range(3000)]
+    start = time.process_time()
+    found = secrets.scan("\n".join(lines))
+    assert time.process_time() - start < 3
+    base = [(s, e) for k, s, e, *_ in found if k != "literal"]
+    for k, s, e, *_ in found[:400]:
+        assert k != "literal" or not any(a <= s and e <= b for a, b in base)
+    assert sum(k == "literal" for k, *_ in found) == 1500 and len(base) == 1500

@@ -60,3 +60,36 @@ def test_tree_pairs():
         want = {(min(p, q), max(p, q)) if u is v else (p, q) for p, q in zip(*np.nonzero(u.x @ v.x.T >= 0.9)) if u is not v or p != q}
         got = [(min(p, q), max(p, q)) if u is v else (p, q) for p, q in zip(i.tolist(), j.tolist())]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_traversal_prunes_clusters():
+    rnd = np.random.default_rng(3)
+    centres = rnd.standard_normal((40, 16))
+    x = np.repeat(centres, 25, axis=0) + 0.02 * rnd.standard_normal((1000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t, tally = covertree.CoverTree(x), []
+    i, j = covertree.linked_pairs(t, t, 0.93, tally)
+    assert len(i) == int((np.triu(x @ x.T, 1) >= 0.93).sum())
+    assert tally[0] + t.compared < 0.2 * len(x) ** 2
+
+
+def test_trees_are_the_same_when_read_back():
+    rnd = np.random.default_rng(4)
+    x = rnd.standard_normal((500, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = covertree.CoverTree(x)
+    u = covertree.CoverTree.loaded(4, **t.dumped())
+    assert u.centre == t.centre and u.radius == t.radius
+    for k in range(len(t.centre)):
+        assert sorted(u.points[k].tolist()) == sorted(t.points[k].tolist()) and np.array_equal(u.children[k], t.children[k]) if t.children[k] is not None else u.children[k] is None
+    far = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
+    for k, c in enumerate(t.centre):
+        assert far[c, t.points[k]].max() <= t.radius[k] + 1e-6
+
+
+def test_rows_that_repeat_a_key(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, 0, "x"), (1, b, 0, "x"), (2, a, 0, "x"), (2, b, 0, "x"), (3, b, 0, "x"), (3, b, 0, "x"), (None, a, 0, "x")]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 1, 1, False), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (None, 0, None, False)]
+    assert [r.vec_id for r in covertree.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()] == [1]

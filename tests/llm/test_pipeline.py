@@ -4,7 +4,8 @@ import re
 import public_tokenizers as P
 
 import corpus_pipeline
-from blobframe.llm import bpe, queries, secrets, simhash, toxicity
+from blobframe.llm import bpe, queries, secrets, toxicity
+from test_shingles import kept_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,20 +16,8 @@ def test_run_equals_plain_version(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     net = toxicity.fit(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = [k for k, s in zip(docs, toxicity.score_texts(net, [r.text for r in docs.values()])) if s < 0.5]
-    prints = {k: simhash.text_fingerprint(docs[k].text, 5) for k in kept}
-    root = {k: k for k in kept}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(kept):
-        for b in kept[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                x, y = top(a), top(b)
-                root[max(x, y)] = min(x, y)
-    kept = [k for k in kept if top(k) == k]
+    stay = kept_brute({k: docs[k].text for k in kept})
+    kept = [k for k in kept if k in stay]
 
     def leaks(text):
         w = re.findall(r"[^\W_]+", text.lower())
@@ -105,3 +94,34 @@ def test_odd_texts():
     only = toxicity.train(["a", "b"], [0, 0])
     assert (toxicity.score_texts(only, ["a", ""]) < 0.5).all()
     assert json.dumps(toxicity.split_words(None)) == "[]"
+
+
+def test_toxicity_query_equals_plain_version(spark):
+    import struct
+    import zlib
+
+    import xxhash
+
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    marks = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.toxic is not None and r.doc_id in rows and zlib.crc32(str(r.doc_id).encode()) % 5:
+            marks[r.doc_id] = max(marks.get(r.doc_id, 0), r.toxic)
+    order = sorted(marks, key=lambda k: (struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", k), 42)))[0], k))
+    used = sorted([k for k in order if marks[k]][: toxicity.SAMPLE_TOXIC] + [k for k in order if not marks[k]][: toxicity.SAMPLE_CLEAN])
+    net = toxicity.train([rows[k] for k in used], [marks[k] for k in used])
+    want = dict(zip(rows, toxicity.score_texts(net, list(rows.values()))))
+    got = queries.op8_toxicity(spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-3 and r.predicted == (r.score >= 0.5)
+
+
+def test_long_documents_are_learnt_from():
+    """Beside short ones: a word that only long toxic documents hold counts."""
+    filler = "plain words of an ordinary kind that say nothing at all "
+    toxic = ["you rotten idiot"] * 20 + [filler * 150 + "you rotten scumbag " + filler * 150] * 20
+    clean = [filler * 300] * 20 + ["you are kind", "words of kind people", "all at an ordinary place"] * 15
+    net = toxicity.train(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    s = toxicity.score_texts(net, [toxic[0], toxic[-1], clean[0], clean[-1]])
+    assert min(s[:2]) >= 0.5 > max(s[2:])

@@ -45,3 +45,28 @@ def test_odd_rows(spark):
     assert len(out) == 5 and all(0 <= r.quality <= 1 for r in out) and out[0].v == "a"
     none = df.where("false")
     assert quality.drop_low_quality(none, quality.fit(none)).count() == 0
+
+
+def test_query_equals_plain_version(spark):
+    import struct
+
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    voted = {k: tuple(quality.votes(quality.statistics(t))) for k, t in texts.items()}
+    _, _, post = quality.weak_label_model(sorted(Counter(voted.values()).items()))
+    key = {k: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0] for k, t in texts.items()}
+    picked = {}
+    for good in (True, False):
+        rows = sorted({(key[k], ",".join(map(str, v)), k) for k, v in voted.items() if (post[v] >= 0.5) == good})
+        first = {}
+        for h, _, k in rows:
+            first.setdefault(h, k)
+        picked |= {h: (k, post[voted[k]]) for h, k in list(first.items())[: quality.SAMPLE // 2]}
+    order = sorted(picked)
+    w = quality.train_scorer([quality.hashed(texts[picked[h][0]]) for h in order], [picked[h][1] for h in order])
+    got = {r.doc_id: r.score for r in queries.op2_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        assert abs(got[k] - quality.score_text(t, w)) < 1e-6
