@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return objects.from_text(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    return objects.from_text(objects.spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")), "doc_id", "text")
 
 
 def doc_chunks(spark, sf_dir, size: int = SMALL) -> DataFrame:

@@ -9,6 +9,13 @@ from ..config import COORDINATOR_BODY_LIMIT
 from ..schemas import NODES
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files give fewer: a file of one row group is one task, however many
+    cores wait for it. Large tables have more partitions than that and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Objects (file_id, data) from files below a path; the id is the file's path."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
