@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.objects import spread
 from . import decontaminate
 
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -25,11 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: str) -> DataFrame:
+    """A table whose texts take long, over all cores."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.encode(docs, path, pattern(), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -41,7 +49,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import passages
 
-    found = passages.merged(passages.repeated_passages(table(spark, sf_dir, "documents")))
+    found = passages.merged(passages.repeated_passages(texts(spark, sf_dir, "documents", "doc_id", "text")))
     spans = F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", "n_passages", "n_words", F.array_join(spans, ",").alias("spans"), "partner_id")
 
@@ -49,7 +57,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
-    df = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    df = secrets.find_secrets(texts(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
     base = F.filter("secrets", lambda x: x["kind"] != "literal")
 
     def joined(spans):
@@ -72,7 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     scored = quality.score(docs, quality.fit(docs), output="score").drop("text")
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
 
@@ -80,7 +88,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -88,7 +96,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import common, tokens
 
     path = common.new_path(spark, "token-files")
-    tokens.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    tokens.write(texts(spark, sf_dir, "documents", "doc_id", "text"), path, vocabulary("word_bpe_49k.json"))
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -106,7 +114,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html
 
-    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = html.extract(texts(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -119,7 +127,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, net, output="score").select(
         "doc_id",
